@@ -4,6 +4,7 @@ import pytest
 from brute import cut_repeats, key
 
 from quarry.llm.substring_dedup import dedup_substrings
+from quarry.llm.suffix_dedup import dedup_suffixes
 
 
 def cases():
@@ -32,3 +33,24 @@ def test_substrings_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     assert key(dedup_substrings(df).collect()) == key(cut_repeats(rows, 20))
+
+
+@pytest.mark.parametrize("passage,anchor,hot", [(20, 5, 4096), (20, 5, 2), (50, 12, 4096)])
+def test_suffixes(spark, passage, anchor, hot):
+    rows = cases()
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as places").repartition(3)
+    got = dedup_suffixes(df, passage, anchor, hot).collect()
+    assert key(got) == key(cut_repeats(rows, passage))
+
+
+def test_suffixes_empty(spark):
+    assert dedup_suffixes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hot_minimisers(spark, monkeypatch):
+    from quarry.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 1 / 50)
+    rows = cases()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert key(dedup_substrings(df, 20).collect()) == key(cut_repeats(rows, 20))
