@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.mixing import mix_sources
+from quarry.llm.embedding_dedup import linked_vectors
+from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack_documents
 from quarry.llm.substring_dedup import dedup_substrings
 from quarry.llm.suffix_dedup import dedup_suffixes
@@ -75,3 +77,28 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+
+
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+ORACLES["op2_embedding_near_dedup"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM link WHERE a = e.vec_id) AS n_links,
+       (SELECT min(b) FROM reach WHERE a = e.vec_id) AS component_id,
+       e.vec_id = (SELECT min(b) FROM reach WHERE a = e.vec_id) AS kept
+FROM embeddings e"""
