@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import partitions
-from quarry.llm.words import Words, chunks, windows
+from quarry.llm.words import BASE, INVERSE, Words, chunks, mix, powers, windows
 
 #: Stands for a null doc_id, which sorts after all others.
 NO_ID = (1 << 63) - 1
 #: Words that a bucket should hold; the number of buckets follows from all words.
 BUCKET_WORDS = 1_200_000
+#: Of zstd, for blobs.
+LEVEL = 4
 SPANS = "doc_id long, th int, start int, n int"
 
 
@@ -39,7 +41,7 @@ def pack(doc: np.ndarray, th: np.ndarray, start: np.ndarray, words: np.ndarray,
     for ids in (doc, later[0]):
         body.append(np.diff(ids, prepend=ids.dtype.type(0)).astype("<i8").tobytes())
     body += [x.astype("<i4").tobytes() for x in (th, start, words, *later[1:])]
-    return zstandard.compress(b"".join(body) + b" ".join(parts), 1)
+    return zstandard.compress(b"".join(body) + b" ".join(parts), LEVEL)
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], bytes]:
@@ -65,8 +67,6 @@ def send(w: Words, doc: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray
     start = a - w.first[d]
     ids, ths = doc[d], th[d]
     # the hash of a run's words, from prefix sums as in windows()
-    from quarry.llm.words import BASE, INVERSE, mix, powers
-
     sums = np.zeros(w.n + 1, np.uint64)
     np.cumsum(w.h * powers(BASE, w.n), out=sums[1:])
     hashed = mix((sums[b] - sums[a]) * powers(INVERSE, w.n + 1)[a] + (b - a).astype(np.uint64))

@@ -65,7 +65,7 @@ def frequent(docs: DataFrame, window: int, order: int) -> tuple[int, np.ndarray]
     return rows[0]["words"], np.array([r["key"] for r in rows[1:] if r["runs"] > rows[0]["runs"] * HOT_SHARE], np.int64).view(np.uint64)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, order: int = 5) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, order: int = 4) -> DataFrame:
     """Removes each word covered by a window whose words also start earlier, in order of (doc_id, place).
 
     docs: doc_id, text, and any other columns, which are left aside. Returns doc_id, n_words, n_removed and
