@@ -11,6 +11,7 @@ from quarry.llm.mixing import mix_sources
 from quarry.llm.embedding_dedup import linked_vectors
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack_documents
+from quarry.llm.quality import quality_rules
 from quarry.llm.substring_dedup import dedup_substrings
 from quarry.llm.suffix_dedup import dedup_suffixes
 
@@ -102,3 +103,9 @@ SELECT e.vec_id, (SELECT count(*) FROM link WHERE a = e.vec_id) AS n_links,
        (SELECT min(b) FROM reach WHERE a = e.vec_id) AS component_id,
        e.vec_id = (SELECT min(b) FROM reach WHERE a = e.vec_id) AS kept
 FROM embeddings e"""
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
