@@ -101,16 +101,9 @@ def nearest(rows: DataFrame, support: float) -> DataFrame:
     return rows.join(last, "g").where("bin <= last")
 
 
-def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF, steps: int = STEPS, least: int = LEAST) -> DataFrame:
-    """docs' doc_id, lang, source with the base statistics, base_failed, d2 and kept.
-
-    docs: doc_id, text, lang, source, and any other columns, which are left aside. kept is false if base_failed;
-    else if d2 is over the cutoff. Estimates are made from documents that don't fail the base rules. Groups of fewer than `least` such
-    documents are estimated together, and if even these are too few, only base rules hold. A null text is
-    empty; a null lang or source is a value like others. Rows come out as often as they go in, with the verdict
-    that depends on values alone.
-    """
-    stats = base_statistics(docs.select("doc_id", "lang", "source", "text"))
+def verdicts(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF, steps: int = STEPS, least: int = LEAST) -> DataFrame:
+    """As quality_rules(), with th, the hash of each row's text."""
+    stats = base_statistics(docs.select("doc_id", F.hash("text").alias("th"), "lang", "source", "text"))
     stats = cut(stats.drop("text").withColumns({"row": F.monotonically_increasing_id(), **transformed()}), "statistics")
     good = stats.where(~F.col("base_failed"))
     sizes = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -124,4 +117,16 @@ def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUT
     d2 = distances(rows, estimates).select("row", "d2")
     out = stats.join(d2, "row", "left")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
-    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
+    return out.select("doc_id", "th", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
+
+
+def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF, steps: int = STEPS, least: int = LEAST) -> DataFrame:
+    """docs' doc_id, lang, source with the base statistics, base_failed, d2 and kept.
+
+    docs: doc_id, text, lang, source, and any other columns, which are left aside. kept is false if base_failed;
+    else if d2 is over the cutoff. Estimates are made from documents that don't fail the base rules. Groups of fewer than `least` such
+    documents are estimated together, and if even these are too few, only base rules hold. A null text is
+    empty; a null lang or source is a value like others. Rows come out as often as they go in, with the verdict
+    that depends on values alone.
+    """
+    return verdicts(docs, support, cutoff, steps, least).drop("th")

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.licenses import licenses_by_document
+from quarry.llm.lm import lm_scores
 from quarry.llm.mixing import mix_sources
+from quarry.llm.chat import chat_windows, read_back
 from quarry.llm.embedding_dedup import linked_vectors
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack_documents
@@ -109,3 +112,43 @@ FROM embeddings e"""
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return read_back(chat_windows(rows, tokenizer_path("byte_bpe_50k.json")))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores(table(spark, sf_dir, "documents"), order=3, least=2, backoff=0.4)
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+ORACLES["op9_lm_scoring"] = f"""
+WITH word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i
+              FROM (SELECT doc_id, {WORDS} AS ws FROM documents)),
+gram AS (SELECT doc_id, i, w, lag(w) OVER q AS v, lag(w, 2) OVER q AS u FROM word WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM gram GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM gram WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM gram WHERE u IS NOT NULL GROUP BY u, v, w),
+scored AS (
+  SELECT g.doc_id,
+    CASE WHEN c3.n >= 2 THEN ln(c3.n) - ln(h2.n)
+         ELSE (CASE WHEN g.u IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END)
+            + CASE WHEN c2.n >= 2 THEN ln(c2.n) - ln(h1.n)
+                   ELSE (CASE WHEN g.v IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END)
+                      + ln(c1.n) - ln((SELECT count(*) FROM gram)) END END AS s
+  FROM gram g JOIN c1 ON g.w = c1.w LEFT JOIN c1 h1 ON g.v = h1.w
+  LEFT JOIN c2 ON g.v = c2.v AND g.w = c2.w LEFT JOIN c2 h2 ON g.u = h2.v AND g.v = h2.w
+  LEFT JOIN c3 ON g.u = c3.u AND g.v = c3.v AND g.w = c3.w)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, round(coalesce(s.total, 0), 4) AS log_score
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(s) AS total FROM scored GROUP BY doc_id) s ON d.doc_id = s.doc_id"""
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses_by_document(table(spark, sf_dir, "documents"))

@@ -30,9 +30,10 @@ LEVEL = 4
 SPANS = "doc_id long, th int, start int, n int"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (no nulls), th (of the text, so that rows that repeat an id stay apart) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("th"), F.col("text"))
+def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id (no nulls), th (of the text, so that rows that repeat an id stay apart), text and, with carry, rest, the other columns."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if carry else []
+    return docs.select(*rest, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("th"), F.col("text"))
 
 
 def pack(doc: np.ndarray, th: np.ndarray, start: np.ndarray, words: np.ndarray, parts: list[bytes], later: tuple[np.ndarray, ...]) -> bytes:
@@ -159,6 +160,7 @@ def remove(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     docs is of keyed(); a document's spans are no more than its words.
     """
     spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    carry = docs.schema["rest"].dataType.simpleString() if "rest" in docs.columns else ""
     joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left")
 
     def cutout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,8 @@ def remove(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(lengths)])[w.first]
                 removed = counts - np.diff(np.concatenate([[0], np.cumsum(keep)])[w.first])
                 texts = [kept[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string())})
+                rest = {"rest": part.column("rest"), "text": part.column("text")} if carry else {}
+                yield pa.record_batch(rest | {"doc_id": part.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string())})
 
-    out = joined.mapInArrow(cutout, "doc_id long, n_words long, n_removed long, kept_text string")
+    out = joined.mapInArrow(cutout, (f"rest {carry}, text string, " if carry else "") + "doc_id long, n_words long, n_removed long, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -51,15 +51,16 @@ def suffixes(docs: DataFrame, passage: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(keep, "doc_id long, th int, a int, n int, key long, copies int")
 
 
-def dedup_suffixes(docs: DataFrame, passage: int = 50, anchor: int = 12, hot: int = 4096) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, passage: int = 50, anchor: int = 12, hot: int = 4096, carry: bool = False) -> DataFrame:
     """Removes the words of every passage of at least `passage` words that also starts earlier.
 
     Earlier is by (doc_id, place); the first occurrence stays. docs: doc_id, text, and any other columns,
     which are left aside. Returns doc_id, n_words, n_removed and kept_text (the words left, joined by one
     space). Null and empty texts have no words; rows with a null doc_id come last; rows of one doc_id don't
-    remove from one another what starts at the same place. Rows come out as often as they go in.
+    remove from one another what starts at the same place. Rows come out as often as they go in. With
+    carry, text and rest (the other columns) come along.
     """
-    docs = keyed(docs)
+    whole, docs = keyed(docs, carry), keyed(docs)
     found = cut(suffixes(docs, passage, anchor), "suffixes")
     often = found.groupBy("key").agg(F.sum("copies").alias("all")).where("all > 1")
     shared = cut(found.join(often, "key").select("doc_id", "th", F.struct("a", "n", (F.col("all") > hot).alias("alone")).alias("s"), "n"), "shared")
@@ -87,4 +88,4 @@ def dedup_suffixes(docs: DataFrame, passage: int = 50, anchor: int = 12, hot: in
                 out = list(send(w, np.array(part.column("doc_id")), np.array(part.column("th")), np.concatenate([a[~alone], one]), np.concatenate([b[~alone], one + passage]), key, passage, buckets))
                 yield pa.record_batch({"bucket": pa.array([x for x, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
-    return remove(docs, compare(joined.mapInArrow(split, "bucket int, blob binary"), passage), passage)
+    return remove(whole, compare(joined.mapInArrow(split, "bucket int, blob binary"), passage), passage)
