@@ -97,7 +97,8 @@ def nearest(rows: DataFrame, support: float) -> DataFrame:
     bins = rows.groupBy("g", "bin").agg(F.count("*").alias("n"))
     by = Window.partitionBy("g")
     bins = bins.withColumn("so_far", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    last = bins.where(F.col("so_far") >= F.ceil(F.col("all") * support)).groupBy("g").agg(F.min("bin").alias("last"))
+    # a table of its own, of known size: a row for each group, so Spark broadcasts it or splits a large group
+    last = cut(bins.where(F.col("so_far") >= F.ceil(F.col("all") * support)).groupBy("g").agg(F.min("bin").alias("last")), "last")
     return rows.join(last, "g").where("bin <= last")
 
 
