@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans import corpus, graph, search, state
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = search.QUERIES | graph.QUERIES | state.QUERIES | corpus.QUERIES
+ORACLES = search.ORACLES | graph.ORACLES | state.ORACLES | corpus.ORACLES

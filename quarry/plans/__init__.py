@@ -1 +1 @@
-"""Part of quarry."""
+"""The library's queries over the test tables, each with SQL that gives the same rows where SQL can."""

@@ -1,7 +1,11 @@
+import sys
+from pathlib import Path
+
 import os
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parents[1]))
 os.environ.setdefault("PYTHONHASHSEED", "0")
 
 
