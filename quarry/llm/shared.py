@@ -1,61 +1,10 @@
-"""What several operators use: tables that cut lineage, and connected components."""
+"""What several operators use: words, and the library's tables that cut lineage and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from quarry.operators.tables import components, cut, partitions, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["GAP", "WORD", "components", "cut", "partitions", "shared_dir"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of this machine only where the session names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it again, so that lost executors cost no more than one step."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every end of an edge (a, b), root being the least node that links reach.
-
-    Edges are turned to stars by turns (large-star and small-star), each round a table of its own, until
-    nothing changes. Rows of a round are at most the edges; no task gathers a node's neighbours.
-    """
-    links = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    for _ in range(rounds):
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        # large star: larger neighbours link to the least
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large, "large")
-        # small star: smaller neighbours and the node itself link to the least
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        links = cut(small, "small")
-        # done when each node has one link, to a node that has none
-        own = links.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
-        if own.where("n > 1").select("a").union(own.join(own.select(F.col("a").alias("b")), "b", "left_semi").select("a")).isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components: links still changed after {rounds} rounds")
-    roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
