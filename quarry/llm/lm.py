@@ -31,14 +31,34 @@ BUCKET_GRAMS = 1_500_000
 WORD_BYTES = 6
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers with like bytes together, which packs better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, like bytes together, each such plane compressed by itself: a plane of few values takes next to nothing."""
+    x = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    parts = [zstandard.compress(p.tobytes(), 3) for p in x]
+    return struct.pack(f"<{len(parts)}i", *map(len, parts)) + b"".join(parts)
 
 
-def unplanes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+def unpacked(raw: bytes, kind: str, at: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers of packed() from `at` on, and where they end."""
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+    lengths = struct.unpack_from(f"<{size}i", raw, at)
+    at += 4 * size
+    planes = []
+    for n in lengths:
+        planes.append(np.frombuffer(zstandard.decompress(raw[at : at + n]), np.uint8))
+        at += n
+    return np.ascontiguousarray(np.stack(planes, axis=1)).view(kind).reshape(-1), at
+
+
+def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compresses the texts, which travel by chunk."""
+    for batch in batches:
+        z = [None if x is None else zstandard.compress(x.encode(), 3) for x in (t.as_py() for t in batch.column("text"))]
+        yield pa.record_batch({"chunk": batch.column("chunk"), "doc_id": batch.column("doc_id"), "z": pa.array(z, pa.binary())})
+
+
+def texts_of(table: pa.Table) -> pa.Array:
+    return pa.array([None if z is None else zstandard.decompress(z) for z in table["z"].to_pylist()], pa.binary()).cast(pa.string())
 
 
 def grams(w: Words, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -63,7 +83,7 @@ def ask(texts: pa.Array, chunk: int, order: int, buckets: int) -> pa.RecordBatch
         if hi > lo:
             rows.append(b)
             steps = np.diff(found[lo:hi], prepend=np.uint64(0))
-            blobs.append(zstandard.compress(struct.pack("<q", hi - lo) + planes(steps) + planes(counts[lo:hi].astype(np.uint32)), 1))
+            blobs.append(packed(steps) + packed(counts[lo:hi].astype(np.uint32)))
     return pa.record_batch({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -75,14 +95,13 @@ def answer(asked: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """The totals of what each chunk asked of one bucket."""
     hashes, counts = [], []
     for _, blob in asked:
-        raw = zstandard.decompress(blob)
-        n = struct.unpack_from("<q", raw)[0]
-        hashes.append(np.cumsum(unplanes(raw, "<u8", n, 8), dtype=np.uint64))
-        counts.append(unplanes(raw, "<u4", n, 8 + 8 * n))
+        steps, at = unpacked(blob, "<u8")
+        hashes.append(np.cumsum(steps, dtype=np.uint64))
+        counts.append(unpacked(blob, "<u4", at)[0])
     _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(inverse, np.concatenate(counts).astype(np.float64)).astype(np.int64)[inverse]
     ends = np.cumsum([len(h) for h in hashes])
-    return [(chunk, zstandard.compress(planes(totals[e - len(h) : e]), 1)) for (chunk, _), h, e in zip(asked, hashes, ends, strict=True)]
+    return [(chunk, packed(totals[e - len(h) : e])) for (chunk, _), h, e in zip(asked, hashes, ends, strict=True)]
 
 
 def score(texts: pa.Array, totals: np.ndarray, words: int, order: int, least: int, backoff: float) -> np.ndarray:
@@ -125,10 +144,11 @@ def lm_scores(docs: DataFrame, order: int = 3, least: int = 2, backoff: float =
     number = max(1, round(size / CHUNK_TEXT))
     buckets = max(4 * partitions(docs.sparkSession), round(size / WORD_BYTES * (order - 0.5) / BUCKET_GRAMS))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)))
+    dealt = dealt.mapInArrow(press, "chunk long, doc_id long, z binary")
     groups = dealt.groupBy("chunk")
 
     def asking(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([ask(column(table, "text"), table["chunk"][0].as_py(), order, buckets)])
+        return pa.Table.from_batches([ask(texts_of(table), table["chunk"][0].as_py(), order, buckets)])
 
     def answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -153,19 +173,13 @@ def lm_scores(docs: DataFrame, order: int = 3, least: int = 2, backoff: float =
 
     def scoring(table: pa.Table, answered: pa.Table) -> pa.Table:
         answered = answered.sort_by("bucket")
-        parts = [zstandard.decompress(x.as_py()) for x in answered["blob"]]
-        totals = np.concatenate([unplanes(x, "<i8", len(x) // 8, 0) for x in parts] or [np.zeros(0, np.int64)])
-        texts = column(table, "text")
+        totals = np.concatenate([unpacked(x.as_py(), "<i8")[0] for x in answered["blob"]] or [np.zeros(0, np.int64)])
+        texts = texts_of(table)
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(Words(texts, hashes=False).counts(), pa.int64()), "log_score": pa.array(score(texts, totals, counted, order, least, backoff), pa.float64())})
 
     return groups.cogroup(answers.groupBy("chunk")).applyInArrow(scoring, "doc_id long, n_words long, log_score double")
 
 
-def column(table: pa.Table, name: str) -> pa.Array:
-    out = table[name].combine_chunks()
-    return out if isinstance(out, pa.Array) else pa.concat_arrays(out.chunks)
-
-
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
