@@ -110,7 +110,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("a", F.col("before") + F.col("within"))
     placed = cut(placed.select("row", "doc_id", "size", "source_size", "target", "id", "a"), "placed")
     index = F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block)))
-    used = placed.where("size > 0").select("row", "id", "a", "size", index.alias("index")).join(drawn, ["id", "index"])
+    # drawn grows with the mix, which an estimate from its few source rows does not show: never broadcast
+    used = placed.where("size > 0").select("row", "id", "a", "size", index.alias("index")).join(drawn.hint("merge"), ["id", "index"])
     low = F.greatest("a", F.col("index") * block)
     words = F.least(F.col("a") + F.col("size"), (F.col("index") + 1) * block) - low
     sums = [F.sum(words * F.col("times")).alias("taken")]
