@@ -50,7 +50,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int, seed: int) -> DataFrame:
-    """(dims, block, cell, asks, v, size, vec): each vector once at home in each block, and asking in cells in reach."""
+    """(dims, block, cell, asks, inside, v, size, vec): each vector once at home in each block, and asking in cells in reach."""
 
     def place(batches):
         for batch in batches:
@@ -62,28 +62,32 @@ def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int, seed: int)
                     reach = np.sqrt((2 - 2 * cosine) * len(own) / d) + 1e-9
                     at = np.floor(x[:, own[:grid]] / reach).astype(np.int64)
                     shift = x[:, own[:grid]] / reach - at
-                    rows, asked, asks = [np.arange(len(x))], [at], [np.zeros(len(x), bool)]
-                    # cells around whose nearest point is in reach
+                    every = np.arange(len(x))
+                    # at home, asking there, and asking in the cells after it that have a point in reach; those before it ask here
+                    rows, asked, asks = [every, every], [at, at], [np.zeros(len(x), bool), np.ones(len(x), bool)]
+                    inside = [np.ones(len(x), bool)] * 2
                     steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * at.shape[1], indexing="ij"), -1).reshape(-1, at.shape[1])
-                    for step in steps:
+                    for step in steps[len(steps) // 2 + 1 :]:
                         gap = np.where(step < 0, shift, np.where(step > 0, 1 - shift, 0))
                         near = np.flatnonzero((gap * gap).sum(axis=1) <= 1 + 1e-9)
                         rows.append(near)
                         asked.append(at[near] + step)
                         asks.append(np.ones(len(near), bool))
+                        inside.append(np.zeros(len(near), bool))
                     row, cell = np.concatenate(rows), np.concatenate(asked)
                     key = np.zeros(len(cell), np.int64)
                     for j in range(cell.shape[1]):
                         key = key * 1009 + cell[:, j] + 500
                     take = part.take(pa.array(row))
-                    yield pa.record_batch({"dims": take.column("dims"), "block": pa.array(np.full(len(row), k), pa.int32()), "cell": pa.array(key), "asks": pa.array(np.concatenate(asks)), "v": take.column("v"), "size": take.column("size"), "vec": take.column("vec")})
+                    yield pa.record_batch({"dims": take.column("dims"), "block": pa.array(np.full(len(row), k), pa.int32()), "cell": pa.array(key), "asks": pa.array(np.concatenate(asks)), "inside": pa.array(np.concatenate(inside)), "v": take.column("v"), "size": take.column("size"), "vec": take.column("vec")})
 
-    return vectors.mapInArrow(place, "dims int, block int, cell long, asks boolean, v long, size long, vec array<float>")
+    return vectors.mapInArrow(place, "dims int, block int, cell long, asks boolean, inside boolean, v long, size long, vec array<float>")
 
 
 def compare(tile: pa.Table, cosine: float, blocks: int, seed: int) -> pa.Table:
     """Links of a tile: for each vector (v, null, links) and (v, other, 0) for some links that join all linked."""
     asks = np.array(tile["asks"].cast(pa.uint8()).combine_chunks(), bool)
+    inside = np.array(tile["inside"].cast(pa.uint8()).combine_chunks(), bool)
     v, size = np.array(tile["v"]), np.array(tile["size"])
     a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
     out_v, out_o, out_n = [], [], []
@@ -97,7 +101,7 @@ def compare(tile: pa.Table, cosine: float, blocks: int, seed: int) -> pa.Table:
         near = lambda p, q, c: (p[:, c] ** 2).sum(1)[:, None] + (q[:, c] ** 2).sum(1) - 2 * p[:, c] @ q[:, c].T
         i, j = np.nonzero(near(x[a], x[b], own[k]) <= slack(k))
         i, j = a[i], b[j]
-        less = v[i] < v[j]
+        less = ~inside[i] | (v[i] < v[j])  # in one cell, each of two asks for the other
         i, j = i[less], j[less]
         for at in range(0, len(i), 200_000):
             p, q = i[at : at + 200_000], j[at : at + 200_000]
@@ -163,7 +167,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, gr
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), F.col("homes")).otherwise(F.col("visits")) - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
     dealt = dealt.withColumns({"x": F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")), "y": F.when(F.col("asks"), F.col("own")).otherwise(F.col("other"))})
-    dealt = dealt.select(*key, "x", "y", "asks", "v", "size", "vec")
+    dealt = dealt.select(*key, "x", "y", "asks", "inside", "v", "size", "vec")
     met = cut(dealt.groupBy(*key, "x", "y").applyInArrow(lambda t: compare(t, cosine, blocks, seed), "v long, other long, n long"), "met")
     counts = met.groupBy("v").agg(F.sum("n").alias("n"))
     roots = components(met.where("other is not null").select(F.col("v").alias("a"), F.col("other").alias("b")))
