@@ -14,7 +14,7 @@ LISTS = ["tags", "aliases", "supersedes", "source_refs"]
 
 def read_bundle(spark: SparkSession, root: str) -> DataFrame:
     """Concepts of all *.md under root but reserved paths: path, body, FIELDS and LISTS; a file without frontmatter fails the read."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.regexp_replace(F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B")), r"^.*?\Q" + base + r"\E", "")
     rows = files.select(path.alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value")).where(~reserved(F.col("path")))
