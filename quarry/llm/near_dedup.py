@@ -8,9 +8,10 @@ hashes picks the `2` labelled k-mers of least hash and keeps them in the order o
 by texts that hold the same words in the same order. Texts of fewer than five words have one k-mer.
 
 Documents of the same words are one class and need no search. Classes that share a sketch form a group, in
-which all are compared with the least only: a star of pairs, not all pairs. Those that don't align with it are
-grouped again, as before and by BANDS bands of minima over single words, and compared with a member that a hash picks in
-each group, where lengths and minima let the two align and no star joins them yet. So pairs grow with the rows.
+which all are compared with the least first: a star of pairs, not all pairs. A group whose members links join is done.
+While the others hold many pairs that no links join, up to ROUNDS more stars are drawn about members that a hash picks; then
+every pair of theirs that no links join is compared, unless lengths or counts of words show that it can't align. Both are
+bounds, so the classes are those of all pairs of all groups; such pairs can grow with the square of a group in which few align.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from quarry.llm.repeats import NO_ID, keyed
 from quarry.llm.shared import components, cut
 from quarry.llm.words import Words, chunks, mix, windows, whole
 
-#: Minima over words that tell the share of words in common, and the part of the share needed that they must show.
-MARK, ENOUGH = 64, 0.75
-#: Bands of so many minima that a class is grouped by again.
-BANDS, BAND = 8, 4
+#: Counters of a text's words, by hash.
+COUNTERS = 128
+#: Stars about picked members at most, and the pairs for each member that need no star before all are compared.
+ROUNDS, FEW = 6, 16
+#: Members of a group that are compared at a time.
+TILE = 1000
 
 
 def ranks(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -181,57 +184,97 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return pairs.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
 
 
-def marks(texts: DataFrame) -> DataFrame:
-    """(v, n, mark): of each text (v, z) the number of words and MARK bytes, each of one minimum over its words.
+def prints(texts: DataFrame) -> DataFrame:
+    """(v, print): of each text (v, z) COUNTERS bytes, each the number of its words with one hash, 255 at most.
 
-    Words are labelled with how often they have come before, so the share of equal bytes tells the share of words in common.
+    An edit raises one count and lowers one at most by 1, so the counts bound the edits between two texts from below.
     """
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix(np.arange(1, 2 * MARK + 1).astype(np.uint64))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 w = Words(pa.array([zstandard.decompress(x.as_py()) for x in part.column("z")], pa.binary()).cast(pa.string()))
-                labelled = mix(w.h + ranks(w.h, w.doc).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                out = np.stack([mix(np.minimum.reduceat((labelled ^ seeds[2 * i]) * (seeds[2 * i + 1] | np.uint64(1)), w.first[:-1])).astype(np.uint8) for i in range(MARK)], axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * MARK, pa.int32()), pa.array(out.reshape(-1).view(np.int8)))
-                yield pa.record_batch({"v": part.column("v"), "n": pa.array(w.counts(), pa.int64()), "mark": lists})
-
-    return texts.mapInArrow(mark, "v long, n long, mark array<tinyint>")
-
-
-def links(docs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
-    """Links (a, b) between nodes. nodes: (v, n, at, sk)."""
+                counts = np.bincount(w.doc * COUNTERS + (w.h % np.uint64(COUNTERS)).astype(np.int64), minlength=part.num_rows * COUNTERS)
+                rows = np.minimum(counts, 255).astype(np.uint8).reshape(-1, COUNTERS)
+                yield pa.record_batch({"v": part.column("v"), "print": pa.array([x.tobytes() for x in rows], pa.binary())})
+
+    return texts.mapInArrow(count, "v long, print binary")
+
+
+def possible(rows: pa.Table, share: float) -> pa.Table:
+    """Pairs (a, b) of rows (g, x, y, t, v, n, root, print) of one g that may align and have different roots; where x <> y, of different t."""
+    g, x, y, t, v, n, root = (np.asarray(rows.column(c)) for c in ("g", "x", "y", "t", "v", "n", "root"))
+    order = np.lexsort((n, g))
+    g, t, v, n, root, across = g[order], t[order], v[order], n[order], root[order], (x != y)[order]
+    counts = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint8).reshape(-1, COUNTERS)[order].astype(np.int16)
+    most = ((1 - share) * n + 1e-9).astype(np.int64)
+    out: list[list[np.ndarray]] = [[], []]
+    edge = np.flatnonzero(np.diff(g, append=~g[-1:])) + 1
+    end = edge[np.searchsorted(edge, np.arange(len(g)), "right")]
+    for i in range(len(g)):
+        to = i + 1 + int(np.searchsorted(n[i + 1 : end[i]] * share - 1e-9, n[i], "right"))
+        j = np.arange(i + 1, to)[root[i + 1 : to] != root[i]]
+        if len(j) and across[i]:
+            j = j[t[j] != t[i]]
+        if len(j):
+            d = counts[j] - counts[i]
+            j = j[np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most[j]]
+            out[0].append(np.minimum(v[i], v[j]))
+            out[1].append(np.maximum(v[i], v[j]))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def all_pairs(left: DataFrame, rows: int, share: float, tile: int) -> DataFrame:
+    """Pairs (a, b) of members (g, size, v, n, root, print) of one group that may align and have different roots. Large groups are dealt out in tiles."""
+    tiles = F.ceil(F.col("size") / tile).cast("int")
+    left = left.withColumn("t", F.pmod(F.xxhash64("v", "g"), tiles).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    left = left.withColumn("x", F.least("t", "u")).withColumn("y", F.greatest("t", "u"))
+    left = left.withColumn("k", F.when(F.col("size") <= tile, F.pmod("g", F.lit(max(48, rows // 20000)))).otherwise(F.col("g")))
+    dealt = left.select("k", "x", "y", "g", "t", "v", "n", "root", "print").groupBy("k", "x", "y")
+    return dealt.applyInArrow(lambda t: possible(t, share), "a long, b long").distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few: int = FEW) -> DataFrame:
+    """Links (a, b) between nodes, that join all nodes which links of any two of a group join. nodes: (v, n, at, sk)."""
     groups = nodes.select("v", F.posexplode("sk").alias("i", "s")).select(F.xxhash64("i", "s").alias("g"), "v")
     least = cut(groups.groupBy("g").agg(F.min("v").alias("c"), F.count("*").alias("size")).where("size > 1").select("g", "c"), "least")
     stars = cut(groups.join(least, "g").where("v <> c"), "stars")
-    pairs = stars.select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
-    for x in "ab":
-        pairs = pairs.join(nodes.select(F.col("v").alias(x), F.col("n").alias("n" + x)), x)
-    pairs = cut(pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9).select("a", "b"), "pairs")
-    ends = stars.select("v").union(pairs.select("a")).distinct()
-    ends = cut(ends.join(nodes.select("v", "at.*"), "v"), "ends")
+    left = stars.select("g", "v").union(least.select("g", F.col("c").alias("v")))
+    sizes = nodes.select("v", "n")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(sizes.select(F.col("v").alias(x), F.col("n").alias("n" + x)), x)
+        return pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9).select("a", "b")
+
+    done = cut(near(stars.select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()), "pairs")
+    ends = cut(left.select("v").distinct().join(nodes.select("v", "at.*"), "v"), "ends")
     # rows that repeat lie together, so dropping them moves nothing
     texts = cut(pressed(docs.join(ends.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "v"]).select("v", "text")), "texts")
-    good = cut(verify(pairs, texts, share), "aligned")
-
-    left = stars.join(good.select(F.col("a").alias("c"), F.col("b").alias("v")), ["c", "v"], "left_anti").select("g", "v")
-    left = cut(left, "left")
-    left = left.join(cut(left.groupBy("g").agg(F.count("*").alias("size")).where("size > 1").select("g"), "left_groups"), "g")
-    star = good.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("star"))
-    marked = marks(texts.join(left.select("v").distinct(), "v")).join(star, "v", "left").withColumn("star", F.coalesce("star", "v"))
-    marked = cut(marked, "marks")
-    bands = marked.select("v", F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("mark", BAND * k + 1, BAND)) for k in range(BANDS)])).alias("g"))
-    groups = cut(left.select("g", "v").union(bands.select("g", "v")), "left_groups")
-    some = groups.groupBy("g").agg(F.min_by("v", F.xxhash64("g", "v")).alias("c"), F.count("*").alias("size")).where("size > 1").select("g", "c")
-    more = groups.join(cut(some, "least"), "g").where("v <> c").select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).distinct()
-    for x in "ab":
-        more = more.join(marked.select(F.col("v").alias(x), *[F.col(y).alias(y + x) for y in ("n", "mark", "star")]), x)
-    equal = F.aggregate(F.zip_with("marka", "markb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    more = more.where((F.col("stara") != F.col("starb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9) & (equal >= ENOUGH * share / (2 - share) * MARK))
-    more = cut(more.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "more")
-    return good.union(cut(verify(more, texts, share), "aligned"))
+    good = cut(verify(done, texts, share), "aligned")
+
+    for turn in range(ROUNDS + 1):
+        roots = components(good).select(F.col("node").alias("v"), "root")
+        joined = left.select("g", "v").join(roots, "v", "left").select("g", "v", F.coalesce("root", "v").alias("root"))
+        undone = joined.groupBy("g").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(v))").alias("same"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        undone = undone.groupBy("size", "same").agg(F.min("g").alias("g"))  # groups of the same members are one
+        left = cut(joined.join(undone.select("g", "size"), "g"), "left")
+        parts = left.groupBy("g", "root", "size").agg(F.count("*").cast("double").alias("n"))
+        rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("size") - F.col("n")) * F.col("n") / 2)).first()
+        if not rows:
+            return good
+        if pairs <= few * rows or turn == ROUNDS:
+            break
+        picked = left.groupBy("g").agg(F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("r")), F.xxhash64("g", "root", F.lit(turn))).alias("p")).select("g", "p.*")
+        star = left.join(picked, "g").where("root <> r").select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).distinct()
+        more = cut(near(star).join(done, ["a", "b"], "left_anti"), "more")
+        done = done.union(more)
+        good = good.union(cut(verify(more, texts, share), "aligned"))
+    marked = cut(prints(texts.join(left.select("v").distinct(), "v")).join(sizes, "v"), "prints")
+    rest = cut(all_pairs(left.join(marked, "v"), int(rows), share, tile).join(done, ["a", "b"], "left_anti"), "rest")
+    return good.union(cut(verify(rest, texts, share), "aligned"))
 
 
 def near_classes(docs: DataFrame, k: int = 5, share: float = 0.8, sketches: int = 32, seed: int = 0) -> DataFrame:
