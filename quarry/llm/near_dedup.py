@@ -5,11 +5,13 @@ longer, an edit being one word put in, left out or changed.
 
 A document's k-mers are runs of five words, labelled with how often they have come before. Each of `sketches`
 hashes picks the `2` labelled k-mers of least hash and keeps them in the order of the text, so a sketch is shared
-by texts that hold the same words in the same order. Texts of fewer than five words have one k-mer.
+by texts that hold the same words in the same order. Texts of fewer than five words have one k-mer. MORE sketches of runs of
+FINE words find pairs of scattered edits. Texts of up to EXACT words also meet by blocks: of a text cut in one block
+more than the edits allowed, one block at least is left whole in each text that aligns, not far from its place.
 
 Documents of the same words are one class and need no search. Classes that share a sketch form a group, in
 which all are compared with the least first: a star of pairs, not all pairs. A group whose members links join is done.
-While the others hold many pairs that no links join, up to ROUNDS more stars are drawn about members that a hash picks; then
+While the others hold many pairs that no links join, up to ROUNDS more stars are drawn about members that a hash picks, as long as these join many; then
 every pair of theirs that no links join is compared, unless lengths or counts of words show that it can't align. Both are
 bounds, so the classes are those of all pairs of all groups; such pairs can grow with the square of a group in which few align.
 """
@@ -30,10 +32,16 @@ from quarry.llm.repeats import NO_ID, keyed
 from quarry.llm.shared import components, cut
 from quarry.llm.words import Words, chunks, mix, windows, whole
 
+#: Words of a run, and number, of the sketches that find scattered edits.
+FINE, MORE = 3, 48
+#: Words of the longer of two texts that blocks find for certain.
+EXACT = 29
 #: Counters of a text's words, by hash.
 COUNTERS = 128
 #: Stars about picked members at most, and the pairs for each member that need no star before all are compared.
 ROUNDS, FEW = 6, 16
+#: Part of a star's pairs that must align for another star before all pairs are compared.
+YIELD = 0.25
 #: Members of a group that are compared at a time.
 TILE = 1000
 
@@ -68,13 +76,21 @@ def sketch(w: Words, k: int, sketches: int, seed: int) -> tuple[np.ndarray, np.n
     out = np.empty((len(docs), sketches), np.uint64)
     most = np.uint64((1 << 64) - 1)
     seeds = mix(np.arange(seed, seed + 2 * sketches).astype(np.uint64) + np.uint64(77))
+    few = np.minimum(size, 2)
+    # the two least of a text are nearly always among those under a bound that about 24 pass
+    bound = np.where(size > 24, np.uint64(24) * (most // np.maximum(size, 24).astype(np.uint64)), most)[row]
     for i in range(sketches):
         g = (labelled ^ seeds[2 * i]) * (seeds[2 * i + 1] | np.uint64(1))
+        some = np.flatnonzero(g <= bound)
+        counts = np.bincount(row[some], minlength=len(docs))
+        if (counts < few).any():
+            some, counts = np.arange(len(g)), size
+        g, own = g[some], row[some]
         at = []
         for _ in range(2):
-            hit = np.flatnonzero(g == np.minimum.reduceat(g, first)[row])
-            _, one = np.unique(row[hit], return_index=True)
-            at.append(hit[one])
+            hit = np.flatnonzero(g == np.minimum.reduceat(g, np.cumsum(counts) - counts)[own])
+            _, one = np.unique(own[hit], return_index=True)
+            at.append(some[hit[one]])
             g[hit] = most
         a, b = np.minimum(*at), np.maximum(*at)
         out[:, i] = mix(mix(h[a] + np.uint64(i)) + h[b])
@@ -89,19 +105,51 @@ def hash_of(h: np.ndarray) -> np.uint64:
     return out
 
 
-def signatures(docs: DataFrame, k: int, sketches: int, seed: int) -> DataFrame:
+def blocks_of(h: list[int], share: float) -> list[int]:
+    """Keys of a text's words h, of which two texts of EXACT words at most share one if they align.
+
+    The shorter text is cut in one block more than the edits allowed by the longer's length. The longer one is asked for
+    block i no more than i places off from the start, and no more than the edits left from the end.
+    """
+    n, keys = len(h), set()
+    allowed = lambda m: int((1 - share) * m + 1e-9)
+
+    def cuts(m: int, edits: int) -> list[tuple[int, int]]:
+        ends = [m * i // (edits + 1) for i in range(edits + 2)]
+        return list(zip(ends, ends[1:]))
+
+    for edits in {allowed(m) for m in range(n, EXACT + 1) if n >= m - allowed(m)} - {0}:
+        keys.update(hash((n, edits, i, *h[a:b])) for i, (a, b) in enumerate(cuts(n, edits)))
+    edits = allowed(n)
+    for m in range(max(1, n - edits), n + 1) if edits and n <= EXACT else ():
+        for i, (a, b) in enumerate(cuts(m, edits)):
+            low, high = max(a - i, a + n - m - (edits - i), 0), min(a + i, a + n - m + (edits - i), n - (b - a))
+            keys.update(hash((m, edits, i, *h[at : at + b - a])) for at in range(low, high + 1))
+    return sorted(keys)
+
+
+def signs(w: Words, k: int, share: float, sketches: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Documents with words, and of each the keys of the groups that it is in."""
+    rows, sk = sketch(w, k, sketches, seed)
+    fine = sketch(w, FINE, MORE, seed + 1)[1] ^ np.uint64(FINE)
+    sk = np.concatenate([sk, fine], axis=1).view(np.int64)
+    counts = w.counts()[rows]
+    return rows, [np.concatenate([x, np.array(blocks_of(w.h[a : a + n].tolist(), share), np.int64)]) if n <= EXACT else x for x, a, n in zip(sk, w.first[rows].tolist(), counts.tolist(), strict=True)]
+
+
+def signatures(docs: DataFrame, k: int, share: float, sketches: int, seed: int) -> DataFrame:
     """(doc_id, th, node, n, sk) of documents with words; node is a digest of the words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 w = Words(part.column("text"))
-                rows, sk = sketch(w, k, sketches, seed)
+                rows, sk = signs(w, k, share, sketches, seed)
                 low, high = w.span(w.first[rows], w.first[rows + 1]) if len(rows) else (rows, rows)
                 text = w.text.tobytes()
                 nodes = [hashlib.blake2b(text[a:b], digest_size=16).hexdigest() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                flat = pa.array(sk.reshape(-1).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * sketches, pa.int32()), flat)
+                flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sk]))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sk)]), pa.int32()), flat)
                 yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(rows)), "th": part.column("th").take(pa.array(rows)), "node": pa.array(nodes, pa.string()), "n": pa.array(w.counts()[rows], pa.int64()), "sk": lists})
 
     return docs.mapInArrow(sign, "doc_id long, th int, node string, n long, sk array<long>")
@@ -238,7 +286,7 @@ def all_pairs(left: DataFrame, rows: int, share: float, tile: int) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few: int = FEW) -> DataFrame:
     """Links (a, b) between nodes, that join all nodes which links of any two of a group join. nodes: (v, n, at, sk)."""
-    groups = nodes.select("v", F.posexplode("sk").alias("i", "s")).select(F.xxhash64("i", "s").alias("g"), "v")
+    groups = nodes.select("v", F.explode("sk").alias("s")).select(F.xxhash64("s").alias("g"), "v")
     least = cut(groups.groupBy("g").agg(F.min("v").alias("c"), F.count("*").alias("size")).where("size > 1").select("g", "c"), "least")
     stars = cut(groups.join(least, "g").where("v <> c"), "stars")
     left = stars.select("g", "v").union(least.select("g", F.col("c").alias("v")))
@@ -255,6 +303,7 @@ def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few
     texts = cut(pressed(docs.join(ends.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "v"]).select("v", "text")), "texts")
     good = cut(verify(done, texts, share), "aligned")
 
+    worth = True
     for turn in range(ROUNDS + 1):
         roots = components(good).select(F.col("node").alias("v"), "root")
         joined = left.select("g", "v").join(roots, "v", "left").select("g", "v", F.coalesce("root", "v").alias("root"))
@@ -265,13 +314,15 @@ def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few
         rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("size") - F.col("n")) * F.col("n") / 2)).first()
         if not rows:
             return good
-        if pairs <= few * rows or turn == ROUNDS:
+        if pairs <= few * rows or turn == ROUNDS or not worth:
             break
         picked = left.groupBy("g").agg(F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("r")), F.xxhash64("g", "root", F.lit(turn))).alias("p")).select("g", "p.*")
         star = left.join(picked, "g").where("root <> r").select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).distinct()
         more = cut(near(star).join(done, ["a", "b"], "left_anti"), "more")
         done = done.union(more)
-        good = good.union(cut(verify(more, texts, share), "aligned"))
+        found = cut(verify(more, texts, share), "aligned")
+        good = good.union(found)
+        worth = found.count() >= YIELD * more.count()  # else stars join too little to go on
     marked = cut(prints(texts.join(left.select("v").distinct(), "v")).join(sizes, "v"), "prints")
     rest = cut(all_pairs(left.join(marked, "v"), int(rows), share, tile).join(done, ["a", "b"], "left_anti"), "rest")
     return good.union(cut(verify(rest, texts, share), "aligned"))
@@ -280,7 +331,7 @@ def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few
 def near_classes(docs: DataFrame, k: int = 5, share: float = 0.8, sketches: int = 32, seed: int = 0) -> DataFrame:
     """(doc_id, th, class_id, kept) for each row; th is the hash of its text. See near_duplicates()."""
     docs = keyed(docs)
-    sig = cut(signatures(docs, k, sketches, seed), "signatures")
+    sig = cut(signatures(docs, k, share, sketches, seed), "signatures")
     nodes = sig.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("sk").alias("sk"))
     nodes = cut(nodes.withColumn("v", F.monotonically_increasing_id()), "nodes")
     roots = components(links(docs, nodes, share)).select(F.col("node").alias("v"), "root")

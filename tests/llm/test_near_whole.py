@@ -3,9 +3,9 @@
 import random
 
 import pytest
-from test_near import classes
+from test_near import brute_near, classes
 
-from quarry.llm.near_dedup import aligned, links
+from quarry.llm.near_dedup import EXACT, aligned, blocks_of, links, near_duplicates
 
 
 def edited(w, places, tag):
@@ -29,3 +29,42 @@ def test_group_without_leftovers(spark, tile, few):
     want = [(i, j) for j in range(len(rows)) for i in range(j) if aligned(rows[i], rows[j], 0.8)]
     assert set(found) <= set(want)
     assert classes(range(len(rows)), found) == classes(range(len(rows)), want)
+
+
+def changed(r, a, edits, words):
+    b = list(a)
+    for _ in range(edits):
+        i, kind = r.randrange(len(b)), r.randrange(3)
+        if kind:
+            b[i : i + 1] = [r.choice(words)] * (kind - 1)
+        else:
+            b.insert(i, r.choice(words))
+    return b
+
+
+def test_blocks_find_all():
+    r = random.Random(2)
+    found = 0
+    for _ in range(3000):
+        words = range(r.choice([2, 4, 50]))
+        a = [r.choice(words) for _ in range(r.randrange(5, EXACT + 1))]
+        b = changed(r, a, len(a) // 5, words)
+        if a != b and len(b) <= EXACT and aligned(a, b, 0.8):
+            found += 1
+            assert set(blocks_of(a, 0.8)) & set(blocks_of(b, 0.8))
+    assert found > 1000
+
+
+def test_scattered_edits(spark):
+    """Pairs at the limit, of all lengths up to 29 words, and some longer ones, against brute force; five words with one edit too."""
+    r = random.Random(4)
+    rows = [(0, "a b c d e"), (1, "a b c d f")]
+    for n in [*range(5, 30), 100, 200]:
+        a = [f"w{r.randrange(9000)}" for _ in range(n)]
+        b = list(a)
+        for i in r.sample(range(n), n // 5):
+            b[i] = f"x{r.randrange(9000)}"
+        rows += [(10 * n, " ".join(a)), (10 * n + 1, " ".join(b))]
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near(rows)
+    assert len(set(got.values())) == len(rows) // 2
