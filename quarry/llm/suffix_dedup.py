@@ -7,8 +7,8 @@ passage of `passage` words: two equal passages keep a suffix at the same place,
 1. Suffixes are compared by their first `anchor` words: only those that another suffix shares go on.
 2. These travel with the words that a match can reach left and right (at most passage - anchor to the left
    and passage to the right), and meet the suffixes of the same anchor in one bucket.
-3. There, matches are extended: for every number of words to the left, the extended suffixes are sorted and
-   neighbours compared, word for word; a match counts if it holds `passage` words in all.
+3. There, every window of `passage` words around them is hashed, and windows of one hash are compared word for word, as in
+   substring dedup. No suffixes are sorted, no neighbours compared and no match extended; the passages found are the same.
 
 An anchor with more than `hot` suffixes is dealt out again by the extended suffix itself.
 """
