@@ -36,8 +36,8 @@ from quarry.llm.words import Words, chunks, mix, windows, whole
 FINE, MORE = 3, 48
 #: Words of the longer of two texts that blocks find for certain.
 EXACT = 29
-#: Counters of a text's words, by hash.
-COUNTERS = 128
+#: Counters of a text's words, by hash, and the sums of these that are looked at first.
+COUNTERS, COARSE = 1024, 128
 #: Stars about picked members at most, and the pairs for each member that need no star before all are compared.
 ROUNDS, FEW = 6, 16
 #: Part of a star's pairs that must align for another star before all pairs are compared.
@@ -74,13 +74,14 @@ def sketch(w: Words, k: int, sketches: int, seed: int) -> tuple[np.ndarray, np.n
     size = np.diff(first, append=len(doc))
     row = np.repeat(np.arange(len(docs)), size)
     out = np.empty((len(docs), sketches), np.uint64)
-    most = np.uint64((1 << 64) - 1)
-    seeds = mix(np.arange(seed, seed + 2 * sketches).astype(np.uint64) + np.uint64(77))
+    # 32 bits choose the k-mers, all 64 name them
+    labelled, most = (labelled >> np.uint64(32)).astype(np.uint32), np.uint32((1 << 32) - 1)
+    seeds = mix(np.arange(seed, seed + 2 * sketches).astype(np.uint64) + np.uint64(77)).astype(np.uint32)
     few = np.minimum(size, 2)
-    # the two least of a text are nearly always among those under a bound that about 24 pass
-    bound = np.where(size > 24, np.uint64(24) * (most // np.maximum(size, 24).astype(np.uint64)), most)[row]
+    # the two least of a text are nearly always among those under a bound that about 16 pass
+    bound = np.where(size > 16, 16 * ((1 << 32) // np.maximum(size, 16)) - 1, (1 << 32) - 1).astype(np.uint32)[row]
     for i in range(sketches):
-        g = (labelled ^ seeds[2 * i]) * (seeds[2 * i + 1] | np.uint64(1))
+        g = (labelled ^ seeds[2 * i]) * (seeds[2 * i + 1] | np.uint32(1))
         some = np.flatnonzero(g <= bound)
         counts = np.bincount(row[some], minlength=len(docs))
         if (counts < few).any():
@@ -89,8 +90,8 @@ def sketch(w: Words, k: int, sketches: int, seed: int) -> tuple[np.ndarray, np.n
         at = []
         for _ in range(2):
             hit = np.flatnonzero(g == np.minimum.reduceat(g, np.cumsum(counts) - counts)[own])
-            _, one = np.unique(own[hit], return_index=True)
-            at.append(some[hit[one]])
+            hit = hit[np.diff(own[hit], prepend=-1) != 0]  # of equal ones the first
+            at.append(some[hit])
             g[hit] = most
         a, b = np.minimum(*at), np.maximum(*at)
         out[:, i] = mix(mix(h[a] + np.uint64(i)) + h[b])
@@ -186,12 +187,25 @@ def banded(a: list, b: list, band: int) -> int:
     return edits
 
 
-def aligned(a: list, b: list, share: float) -> bool:
-    """Whether a and b align with at most (1 - share) * max(len) edits. The band widens from a few rows to the edits allowed."""
+def shared(counts: dict, b: list) -> int:
+    """How many of the words of b the counts of a's words hold."""
+    left, n = dict(counts), 0
+    for x in b:
+        if left.get(x):
+            left[x] -= 1
+            n += 1
+    return n
+
+
+def aligned(a: list, b: list, share: float, counts: dict | None = None) -> bool:
+    """Whether a and b align with at most (1 - share) * max(len) edits; counts: of a's words, if known.
+
+    The band widens from a few rows to the edits allowed.
+    """
     limit = int((1 - share) * max(len(a), len(b)) + 1e-9)
     if a == b or not limit:
         return a == b
-    if abs(len(a) - len(b)) > limit or max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > limit:
+    if abs(len(a) - len(b)) > limit or max(len(a), len(b)) - shared(counts or Counter(a), b) > limit:
         return False
     if limit >= min(len(a), len(b)):  # so short, or so few words in common, that the band is all rows
         a, b = [*a, *[-1] * (limit + 1)], [*b, *[-1] * (limit + 1)]
@@ -221,10 +235,14 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
         for batch in batches:
             out = []
             for at in range(0, batch.num_rows, 64):
-                for a, b, s, t in zip(*(batch.slice(at, 64).column(i).to_pylist() for i in range(4)), strict=True):
-                    ids: dict[bytes, int] = {}
-                    s, t = ([ids.setdefault(x, len(ids)) for x in zstandard.decompress(y).split()] for y in (s, t))
-                    if aligned(s, t, share):
+                part = batch.slice(at, 64)
+                ids: dict[bytes, int] = {}
+                held: dict[int, tuple[list[int], Counter]] = {}
+                read = lambda z: [ids.setdefault(x, len(ids)) for x in zstandard.decompress(z.as_py()).split()]
+                for a, b, s, t in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("s"), part.column("t"), strict=True):
+                    if a not in held:  # pairs of one text come together
+                        held = {a: (words := read(s), Counter(words))}
+                    if aligned(held[a][0], read(t), share, held[a][1]):
                         out.append((a, b))
             yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
@@ -233,9 +251,10 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
 
 
 def prints(texts: DataFrame) -> DataFrame:
-    """(v, print): of each text (v, z) COUNTERS bytes, each the number of its words with one hash, 255 at most.
+    """(v, n, print): of each text (v, z) its words and COUNTERS numbers of 2 bits, each how many of its words have one hash, 3 at most.
 
-    An edit raises one count and lowers one at most by 1, so the counts bound the edits between two texts from below.
+    An edit raises one number and lowers one at most by 1, so the numbers bound the edits between two texts from
+    below; so do sums of some of the numbers.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +263,44 @@ def prints(texts: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 w = Words(pa.array([zstandard.decompress(x.as_py()) for x in part.column("z")], pa.binary()).cast(pa.string()))
                 counts = np.bincount(w.doc * COUNTERS + (w.h % np.uint64(COUNTERS)).astype(np.int64), minlength=part.num_rows * COUNTERS)
-                rows = np.minimum(counts, 255).astype(np.uint8).reshape(-1, COUNTERS)
-                yield pa.record_batch({"v": part.column("v"), "print": pa.array([x.tobytes() for x in rows], pa.binary())})
+                rows = np.minimum(counts, 3).astype(np.uint8).reshape(part.num_rows, -1, 4)
+                rows = rows[:, :, 0] | rows[:, :, 1] << 2 | rows[:, :, 2] << 4 | rows[:, :, 3] << 6
+                yield pa.record_batch({"v": part.column("v"), "n": pa.array(w.counts(), pa.int64()), "print": pa.array([x.tobytes() for x in rows], pa.binary())})
+
+    return texts.mapInArrow(count, "v long, n long, print binary")
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """A row of COUNTERS numbers for each print."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.stack([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=2).reshape(len(column), -1).astype(np.int8)
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The edits that rows of numbers a and b need at least."""
+    d = a - b
+    return np.maximum(np.maximum(d, 0).sum(axis=1, dtype=np.int64), np.maximum(-d, 0).sum(axis=1, dtype=np.int64))
 
-    return texts.mapInArrow(count, "v long, print binary")
+
+def allowed(n: np.ndarray, share: float) -> np.ndarray:
+    return ((1 - share) * n + 1e-9).astype(np.int64)
+
+
+def may_align(pairs: DataFrame, marked: DataFrame, share: float) -> DataFrame:
+    """Those of the pairs (a, b) that lengths and counts of words don't exclude; marked: (v, n, print)."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                most = allowed(np.maximum(np.array(part.column("na")), np.array(part.column("nb"))), share)
+                good = pa.array(differ(numbers(part.column("pa")), numbers(part.column("pb"))) <= most)
+                yield pa.record_batch({x: part.column(x).filter(good) for x in "ab"})
+
+    for x in "ba":
+        pairs = pairs.join(marked.select(F.col("v").alias(x), F.col("n").alias("n" + x), F.col("print").alias("p" + x)), x)
+    pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9)
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(check, "a long, b long")
 
 
 def possible(rows: pa.Table, share: float) -> pa.Table:
@@ -255,8 +308,9 @@ def possible(rows: pa.Table, share: float) -> pa.Table:
     g, x, y, t, v, n, root = (np.asarray(rows.column(c)) for c in ("g", "x", "y", "t", "v", "n", "root"))
     order = np.lexsort((n, g))
     g, t, v, n, root, across = g[order], t[order], v[order], n[order], root[order], (x != y)[order]
-    counts = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint8).reshape(-1, COUNTERS)[order].astype(np.int16)
-    most = ((1 - share) * n + 1e-9).astype(np.int64)
+    fine = numbers(rows.column("print").combine_chunks())[order]
+    coarse = fine.reshape(len(fine), -1, COUNTERS // COARSE).sum(axis=2, dtype=np.int8)
+    most = allowed(n, share)
     out: list[list[np.ndarray]] = [[], []]
     edge = np.flatnonzero(np.diff(g, append=~g[-1:])) + 1
     end = edge[np.searchsorted(edge, np.arange(len(g)), "right")]
@@ -266,8 +320,8 @@ def possible(rows: pa.Table, share: float) -> pa.Table:
         if len(j) and across[i]:
             j = j[t[j] != t[i]]
         if len(j):
-            d = counts[j] - counts[i]
-            j = j[np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most[j]]
+            j = j[differ(coarse[j], coarse[i]) <= most[j]]
+            j = j[differ(fine[j], fine[i]) <= most[j]]
             out[0].append(np.minimum(v[i], v[j]))
             out[1].append(np.maximum(v[i], v[j]))
     a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
@@ -290,18 +344,12 @@ def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few
     least = cut(groups.groupBy("g").agg(F.min("v").alias("c"), F.count("*").alias("size")).where("size > 1").select("g", "c"), "least")
     stars = cut(groups.join(least, "g").where("v <> c"), "stars")
     left = stars.select("g", "v").union(least.select("g", F.col("c").alias("v")))
-    sizes = nodes.select("v", "n")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(sizes.select(F.col("v").alias(x), F.col("n").alias("n" + x)), x)
-        return pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9).select("a", "b")
-
-    done = cut(near(stars.select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()), "pairs")
     ends = cut(left.select("v").distinct().join(nodes.select("v", "at.*"), "v"), "ends")
     # rows that repeat lie together, so dropping them moves nothing
     texts = cut(pressed(docs.join(ends.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "v"]).select("v", "text")), "texts")
-    good = cut(verify(done, texts, share), "aligned")
+    marked = cut(prints(texts), "prints")
+    done = stars.select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
+    good = cut(verify(cut(may_align(done, marked, share), "pairs"), texts, share), "aligned")
 
     worth = True
     for turn in range(ROUNDS + 1):
@@ -318,12 +366,11 @@ def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few
             break
         picked = left.groupBy("g").agg(F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("r")), F.xxhash64("g", "root", F.lit(turn))).alias("p")).select("g", "p.*")
         star = left.join(picked, "g").where("root <> r").select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).distinct()
-        more = cut(near(star).join(done, ["a", "b"], "left_anti"), "more")
+        more = cut(star.join(done, ["a", "b"], "left_anti"), "more")
         done = done.union(more)
-        found = cut(verify(more, texts, share), "aligned")
+        found = cut(verify(cut(may_align(more, marked, share), "pairs"), texts, share), "aligned")
         good = good.union(found)
         worth = found.count() >= YIELD * more.count()  # else stars join too little to go on
-    marked = cut(prints(texts.join(left.select("v").distinct(), "v")).join(sizes, "v"), "prints")
     rest = cut(all_pairs(left.join(marked, "v"), int(rows), share, tile).join(done, ["a", "b"], "left_anti"), "rest")
     return good.union(cut(verify(rest, texts, share), "aligned"))
 
