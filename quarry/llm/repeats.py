@@ -9,7 +9,7 @@ hash and neighbours compared byte for byte.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,19 +88,27 @@ def send(w: Words, doc: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray
         yield int(bucket[part[0]]), pack(ids[k], ths[k], start[k], b[k] - a[k], [text[x:y] for x, y in zip(low[k], high[k], strict=True)], (ids[s], ths[s], start[s], b[s] - a[s] - window + 1))
 
 
+def unpacked(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], Words]:
+    """Runs (doc, th, start, words), known spans, and the words of all runs, of a bucket."""
+    runs, spans, texts = zip(*map(unpack, blobs), strict=True)
+    w = Words(pa.array([b" ".join(t for t in texts if t)], pa.binary()).cast(pa.string()))
+    return [np.concatenate([r[i] for r in runs]) for i in range(4)], [np.concatenate([s[i] for s in spans]) for i in range(4)], w
+
+
+def joined(known: list[np.ndarray], doc: np.ndarray, th: np.ndarray, start: np.ndarray, r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The known spans, and those of the windows p of runs r, consecutive ones as one."""
+    order = np.lexsort((p, r))
+    r, p = r[order], p[order]
+    new = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(p, prepend=-2) != 1))
+    mine = (doc[r[new]], th[r[new]], start[r[new]] + p[new], np.diff(new, append=len(r)))
+    return tuple(np.concatenate(x) for x in zip(known, mine, strict=True))
+
+
 def repeated(blobs: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     """Spans (doc, th, start, n) of the windows of a bucket whose words also start earlier."""
-    runs, spans, texts = [], [], []
-    for blob in blobs:
-        r, s, t = unpack(blob)
-        runs.append(r)
-        spans.append(s)
-        texts.append(t)
-    doc, th, start, length = (np.concatenate([r[i] for r in runs]) for i in range(4))
-    known = [np.concatenate([s[i] for s in spans]) for i in range(4)]
+    (doc, th, start, length), known, w = unpacked(blobs)
     if not len(doc):
         return tuple(known)
-    w = Words(pa.array([b" ".join(t for t in texts if t)], pa.binary()).cast(pa.string()))
     text = w.text.tobytes()
     at = np.concatenate([[0], np.cumsum(length)])[:-1]
     n = np.maximum(length - window + 1, 0)
@@ -124,20 +132,15 @@ def repeated(blobs: list[bytes], window: int) -> tuple[np.ndarray, ...]:
             leader[i] = seen.setdefault((group[i], text[low[i] : high[i]]), i)
     ids, places = doc[run[many]], start[run[many]] + inner[many]
     hit = (ids != ids[leader]) | (places != places[leader])
-    r, p = run[many][hit], inner[many][hit]
-    order = np.lexsort((p, r))
-    r, p = r[order], p[order]
-    new = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(p, prepend=-2) != 1))
-    mine = (doc[r[new]], th[r[new]], start[r[new]] + p[new], np.diff(new, append=len(r)))
-    return tuple(np.concatenate(x) for x in zip(known, mine, strict=True))
+    return joined(known, doc, th, start, run[many][hit], inner[many][hit])
 
 
-def compare(blobs: DataFrame, window: int) -> DataFrame:
-    """Spans of repeated windows from (bucket int, blob binary); one bucket is in memory at a time."""
+def compare(blobs: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Spans of repeated windows from (bucket int, blob binary), as `find` has them; one bucket is in memory at a time."""
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[bytes]) -> pa.RecordBatch:
-            doc, th, start, n = repeated(held, window)
+            doc, th, start, n = find(held)
             return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "th": pa.array(th, pa.int32()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32())})
 
         at, held = None, []

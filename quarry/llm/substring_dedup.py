@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.repeats import BUCKET_WORDS, compare, keyed, remove, send
+from quarry.llm.repeats import BUCKET_WORDS, compare, keyed, remove, repeated, send
 from quarry.llm.shared import partitions
 from quarry.llm.words import Words, chunks, mix, sliding_min, whole, windows
 
@@ -85,4 +85,4 @@ def dedup_substrings(docs: DataFrame, window: int = 20, order: int = 4) -> DataF
                 out = list(send(w, np.array(part.column("doc_id")), np.array(part.column("th")), a, b, key, window, buckets))
                 yield pa.record_batch({"bucket": pa.array([x for x, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
-    return remove(docs, compare(docs.mapInArrow(split, "bucket int, blob binary"), window), window)
+    return remove(docs, compare(docs.mapInArrow(split, "bucket int, blob binary"), lambda blobs: repeated(blobs, window)), window)

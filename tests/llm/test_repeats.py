@@ -54,3 +54,18 @@ def test_hot_minimisers(spark, monkeypatch):
     rows = cases()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert key(dedup_substrings(df, 20).collect()) == key(cut_repeats(rows, 20))
+
+
+def test_words_of_one_hash():
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.llm.suffix_dedup import numbered
+    from quarry.llm.words import Words
+
+    w = Words(pa.array(["ab cd ab abc é ab", "cd xx"]))
+    names = "ab cd ab abc é ab cd xx".split()
+    for h in (w.h, np.full(w.n, 7, np.uint64), w.h % np.uint64(2)):
+        w.h = h
+        n = numbered(w).tolist()
+        assert [[a == b for b in names] for a in names] == [[a == b for b in n] for a in n]
