@@ -36,14 +36,14 @@ from quarry.llm.words import Words, chunks, mix, windows, whole
 FINE, MORE = 3, 48
 #: Words of the longer of two texts that blocks find for certain.
 EXACT = 29
-#: Counters of a text's words, by hash, and the sums of these that are looked at first.
+#: Counters of a text's print, by hash of words, and the sums of these that are looked at first.
 COUNTERS, COARSE = 1024, 128
 #: Stars about picked members at most, and the pairs for each member that need no star before all are compared.
 ROUNDS, FEW = 6, 16
 #: Part of a star's pairs that must align for another star before all pairs are compared.
 YIELD = 0.25
 #: Members of a group that are compared at a time.
-TILE = 1000
+TILE = 4000
 
 
 def ranks(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -251,7 +251,7 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
 
 
 def prints(texts: DataFrame) -> DataFrame:
-    """(v, n, print): of each text (v, z) its words and COUNTERS numbers of 2 bits, each how many of its words have one hash, 3 at most.
+    """(v, n, print): of each text (v, z) its words and COUNTERS numbers of 4 bits, each how many of its words have one hash, 15 at most.
 
     An edit raises one number and lowers one at most by 1, so the numbers bound the edits between two texts from
     below; so do sums of some of the numbers.
@@ -263,21 +263,21 @@ def prints(texts: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 w = Words(pa.array([zstandard.decompress(x.as_py()) for x in part.column("z")], pa.binary()).cast(pa.string()))
                 counts = np.bincount(w.doc * COUNTERS + (w.h % np.uint64(COUNTERS)).astype(np.int64), minlength=part.num_rows * COUNTERS)
-                rows = np.minimum(counts, 3).astype(np.uint8).reshape(part.num_rows, -1, 4)
-                rows = rows[:, :, 0] | rows[:, :, 1] << 2 | rows[:, :, 2] << 4 | rows[:, :, 3] << 6
+                rows = np.minimum(counts, 15).astype(np.uint8).reshape(part.num_rows, -1, 2)
+                rows = rows[:, :, 0] | rows[:, :, 1] << 4
                 yield pa.record_batch({"v": part.column("v"), "n": pa.array(w.counts(), pa.int64()), "print": pa.array([x.tobytes() for x in rows], pa.binary())})
 
     return texts.mapInArrow(count, "v long, n long, print binary")
 
 
-def numbers(column: pa.Array) -> np.ndarray:
-    """A row of COUNTERS numbers for each print."""
-    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    return np.stack([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=2).reshape(len(column), -1).astype(np.int8)
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each print, COARSE sums and COUNTERS numbers."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COUNTERS // 2)
+    fine = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(column), COUNTERS).astype(np.int8)
+    return fine.reshape(len(column), COARSE, -1).sum(axis=2, dtype=np.int8), fine
 
 
-def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The edits that rows of numbers a and b need at least."""
+def edits_at_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = a - b
     return np.maximum(np.maximum(d, 0).sum(axis=1, dtype=np.int64), np.maximum(-d, 0).sum(axis=1, dtype=np.int64))
 
@@ -286,30 +286,34 @@ def allowed(n: np.ndarray, share: float) -> np.ndarray:
     return ((1 - share) * n + 1e-9).astype(np.int64)
 
 
-def may_align(pairs: DataFrame, marked: DataFrame, share: float) -> DataFrame:
-    """Those of the pairs (a, b) that lengths and counts of words don't exclude; marked: (v, n, print)."""
+def bounded(pairs: DataFrame, share: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, na, nb, pa, pb) that lengths and prints don't exclude."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 most = allowed(np.maximum(np.array(part.column("na")), np.array(part.column("nb"))), share)
-                good = pa.array(differ(numbers(part.column("pa")), numbers(part.column("pb"))) <= most)
+                good = pa.array(edits_at_least(numbers(part.column("pa"))[1], numbers(part.column("pb"))[1]) <= most)
                 yield pa.record_batch({x: part.column(x).filter(good) for x in "ab"})
 
-    for x in "ba":
-        pairs = pairs.join(marked.select(F.col("v").alias(x), F.col("n").alias("n" + x), F.col("print").alias("p" + x)), x)
     pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9)
     return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(check, "a long, b long")
 
 
+def may_align(pairs: DataFrame, marked: DataFrame, share: float) -> DataFrame:
+    """Those of the pairs (a, b) that lengths and prints don't exclude; marked: (v, n, print)."""
+    for x in "ba":
+        pairs = pairs.join(marked.select(F.col("v").alias(x), F.col("n").alias("n" + x), F.col("print").alias("p" + x)), x)
+    return bounded(pairs, share)
+
+
 def possible(rows: pa.Table, share: float) -> pa.Table:
     """Pairs (a, b) of rows (g, x, y, t, v, n, root, print) of one g that may align and have different roots; where x <> y, of different t."""
     g, x, y, t, v, n, root = (np.asarray(rows.column(c)) for c in ("g", "x", "y", "t", "v", "n", "root"))
     order = np.lexsort((n, g))
     g, t, v, n, root, across = g[order], t[order], v[order], n[order], root[order], (x != y)[order]
-    fine = numbers(rows.column("print").combine_chunks())[order]
-    coarse = fine.reshape(len(fine), -1, COUNTERS // COARSE).sum(axis=2, dtype=np.int8)
+    coarse, fine = (x[order] for x in numbers(rows.column("print").combine_chunks()))
     most = allowed(n, share)
     out: list[list[np.ndarray]] = [[], []]
     edge = np.flatnonzero(np.diff(g, append=~g[-1:])) + 1
@@ -320,8 +324,8 @@ def possible(rows: pa.Table, share: float) -> pa.Table:
         if len(j) and across[i]:
             j = j[t[j] != t[i]]
         if len(j):
-            j = j[differ(coarse[j], coarse[i]) <= most[j]]
-            j = j[differ(fine[j], fine[i]) <= most[j]]
+            j = j[edits_at_least(coarse[j], coarse[i]) <= most[j]]
+            j = j[edits_at_least(fine[j], fine[i]) <= most[j]]
             out[0].append(np.minimum(v[i], v[j]))
             out[1].append(np.maximum(v[i], v[j]))
     a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
@@ -354,24 +358,27 @@ def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few
     worth = True
     for turn in range(ROUNDS + 1):
         roots = components(good).select(F.col("node").alias("v"), "root")
-        joined = left.select("g", "v").join(roots, "v", "left").select("g", "v", F.coalesce("root", "v").alias("root"))
+        known = [x for x in ("n", "print") if x in left.columns]
+        joined = left.select("g", "v", *known).join(roots, "v", "left").select("g", "v", *known, F.coalesce("root", "v").alias("root"))
         undone = joined.groupBy("g").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(v))").alias("same"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         undone = undone.groupBy("size", "same").agg(F.min("g").alias("g"))  # groups of the same members are one
-        left = cut(joined.join(undone.select("g", "size"), "g"), "left")
+        left = joined.join(undone.select("g", "size"), "g")
+        left = cut(left if known else left.join(marked, "v"), "left")
         parts = left.groupBy("g", "root", "size").agg(F.count("*").cast("double").alias("n"))
         rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("size") - F.col("n")) * F.col("n") / 2)).first()
         if not rows:
             return good
         if pairs <= few * rows or turn == ROUNDS or not worth:
             break
-        picked = left.groupBy("g").agg(F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("r")), F.xxhash64("g", "root", F.lit(turn))).alias("p")).select("g", "p.*")
-        star = left.join(picked, "g").where("root <> r").select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).distinct()
-        more = cut(star.join(done, ["a", "b"], "left_anti"), "more")
+        picked = F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("r"), F.col("n").alias("nc"), F.col("print").alias("pc")), F.xxhash64("g", "root", F.lit(turn)))
+        star = left.join(left.groupBy("g").agg(picked.alias("p")).select("g", "p.*"), "g").where("root <> r")
+        star = star.select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb"), F.col("print").alias("pa"), F.col("pc").alias("pb"))
+        more = cut(bounded(star, share).distinct().join(done, ["a", "b"], "left_anti"), "more")
         done = done.union(more)
-        found = cut(verify(cut(may_align(more, marked, share), "pairs"), texts, share), "aligned")
+        found = cut(verify(more, texts, share), "aligned")
         good = good.union(found)
         worth = found.count() >= YIELD * more.count()  # else stars join too little to go on
-    rest = cut(all_pairs(left.join(marked, "v"), int(rows), share, tile).join(done, ["a", "b"], "left_anti"), "rest")
+    rest = cut(all_pairs(left, int(rows), share, tile).join(done, ["a", "b"], "left_anti"), "rest")
     return good.union(cut(verify(rest, texts, share), "aligned"))
 
 
