@@ -47,35 +47,54 @@ def read_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.S)
 
 
-def windows_of(turns: list[tuple[str, str]], tokens: list[int], forms: list[tuple[str, int, int]], budget: int, history: int) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
-    """(text, tokens, where the span's turns start, loss spans) of each window."""
-    system = 1 if turns and turns[0][0] == "system" else 0
-    fixed = tokens[0] if system else 0
-    sums = [0, *accumulate(tokens)]
-    at = system
-    first = True
-    while at < len(turns) or first:
-        back = at
-        while back > system and sums[at] - sums[back - 1] <= min(history, budget - fixed - (tokens[at] if at < len(turns) else 0)):
-            back -= 1
-        to = max(at + 1, bisect_right(sums, budget - fixed + sums[back]) - 1)
-        to = min(to, len(turns))
-        if first and system:
-            text, new = "", 0  # the system turn is new in the first window
-            parts = [0]
+class Windows:
+    """The windows of one conversation, whose turns come one by one; only a window's turns and the history are held."""
+
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history, self.number = budget, history, 0
+        self.system: tuple | None = None
+        self.turns = 0
+        self.past: list[tuple] = []
+        self.span: list[tuple] = []
+        self.room = 0
+
+    def add(self, role: str, form: tuple[str, int, int], tokens: int) -> Iterator[tuple]:
+        turn = (role, form, tokens)
+        self.turns += 1
+        if self.turns == 1 and role == "system":
+            self.system, self.budget = turn, self.budget - tokens
+        elif self.span and tokens <= self.room:
+            self.span.append(turn)
+            self.room -= tokens
         else:
-            parts = []
-            text, new = (forms[0][0] if system else "") + "".join(forms[i][0] for i in range(back, at)), None
-            new = len(text)
-        out, loss, place = [text], [], len(text)
-        for i in [*parts, *range(at, to)]:
-            form, a, b = forms[i]
-            if turns[i][0] == "assistant":
-                loss.append((place + a, place + b))
-            out.append(form)
+            if self.span:
+                yield from self.close()
+            # the last turns as far as the history goes; their tokens' sums from the end tell how many
+            sums = list(accumulate(t[2] for t in reversed(self.past)))
+            most = bisect_right(sums, min(self.history, self.budget - tokens))
+            self.past = self.past[len(self.past) - most :]
+            self.room = self.budget - tokens - (sums[most - 1] if most else 0)
+            self.span = [turn]
+
+    def close(self) -> Iterator[tuple]:
+        """(window, text, n_tokens, new_from, loss) of the open window, if there is one."""
+        if not self.span and not (self.system and not self.number):
+            return
+        first = self.system and not self.number
+        old = ([self.system] if self.system and not first else []) + self.past
+        new = ([self.system] if first else []) + self.span
+        parts, loss = [t[1][0] for t in old], []
+        place = start = sum(map(len, parts))
+        for role, (form, a, b), _ in new:
+            if role == "assistant":
+                loss.append({"start": place + a, "stop": place + b})
+            parts.append(form)
             place += len(form)
-        yield "".join(out), fixed + sums[to] - sums[back], new, loss
-        at, first = to, False
+        yield self.number, "".join(parts), sum(t[2] for t in old + new), start, loss
+        self.number += 1
+        self.past, self.span = self.past + self.span, []
+        while sum(t[2] for t in self.past) > self.history:
+            self.past = self.past[1:]
 
 
 def chat_windows(conversations: DataFrame, path: str, budget: int = 1024, history: int = 256) -> DataFrame:
@@ -84,56 +103,69 @@ def chat_windows(conversations: DataFrame, path: str, budget: int = 1024, histor
     conversations: conv_id, turn, role, text, and any other columns, which are left aside; rows in order of turn (null
     first, ties by role and text). Null roles and texts are empty. new_from: where in text the turns start that no earlier window
     has; loss: an array of (start, stop) in text, of the assistant texts there, escaped. A turn that is longer than the
-    budget has a window for itself. Repeated rows are turns of their own; a null conv_id is a conversation.
-    A conversation's turns are one row, as a training sample is; nothing else is gathered.
+    budget has a window for itself. Repeated rows are turns of their own; a null conv_id is a conversation. No rows give no windows.
+    Turns are sorted within a partition and read as a stream, so a long conversation takes time, but no memory.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    role, text = (F.coalesce(x, F.lit("")).alias(x) for x in ("role", "text"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role, text)
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = {"conv_id": pa.int64(), "window": pa.int64(), "text": pa.string(), "n_tokens": pa.int64(), "new_from": pa.int64(), "loss": kind}
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        at, windows = None, None
+        pack = lambda rows: pa.record_batch({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                out: list[list] = [[] for _ in range(6)]
-                convs = [[(t["role"], t["text"]) for t in turns] for turns in part.column("turns").to_pylist()]
-                forms = [[written(*t) for t in turns] for turns in convs]
-                sizes = iter([len(e) for e in tokenizer.encode_batch_fast([f[0] for fs in forms for f in fs], add_special_tokens=False)])
-                for conv, turns, fs in zip(part.column("conv_id").to_pylist(), convs, forms, strict=True):
-                    tokens = [next(sizes) for _ in fs]
-                    for n, window in enumerate(windows_of(turns, tokens, fs, budget, history)):
-                        for column, x in zip(out, (conv, n, *window), strict=True):
-                            column.append(x)
-                loss = pa.array([[{"start": a, "stop": b} for a, b in x] for x in out[5]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-                yield pa.record_batch({"conv_id": pa.array(out[0], pa.int64()), "window": pa.array(out[1], pa.int64()), "text": pa.array(out[2], pa.string()), "n_tokens": pa.array(out[3], pa.int64()), "new_from": pa.array(out[4], pa.int64()), "loss": loss})
-
-    schema = "conv_id long, window long, text string, n_tokens long, new_from long, loss array<struct<start: long, stop: long>>"
-    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turns").mapInArrow(form, schema)
+            for start in range(0, batch.num_rows, 1000):
+                ids, roles, texts = (batch.slice(start, 1000).column(i).to_pylist() for i in range(3))
+                forms = [written(r, t) for r, t in zip(roles, texts, strict=True)]
+                sizes = [len(e) for e in tokenizer.encode_batch_fast([f[0] for f in forms], add_special_tokens=False)]
+                out = []
+                for conv, r, f, n in zip(ids, roles, forms, sizes, strict=True):
+                    if windows is None or conv != at:
+                        out += [(at, *w) for w in windows.close()] if windows else []
+                        at, windows = conv, Windows(budget, history)
+                    out += [(at, *w) for w in windows.add(r, f, n)]
+                yield pack(out)
+        if windows:
+            yield pack([(at, *w) for w in windows.close()])
+
+    return rows.mapInArrow(form, "conv_id long, window long, text string, n_tokens long, new_from long, loss array<struct<start: long, stop: long>>")
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what chat_windows() returns."""
-    rows = windows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("window", "text", "new_from", "loss"))).alias("windows"))
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what chat_windows() returns.
+
+    Windows are sorted within a partition and read as a stream with running digests.
+    """
+    rows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").select("conv_id", "text", "new_from", "loss")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+        done, row, turns, loss = [], None, None, None
+        pack = lambda rows: pa.record_batch({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
             for i in range(batch.num_rows):
-                turns, loss, chars = [], [], 0
-                for w in batch.column("windows")[i].as_py():
-                    chars += len(w["text"])
-                    turns += [(read_role(r), unescape(t)) for r, t in TURN.findall(w["text"][w["new_from"] :])]
-                    loss += [unescape(w["text"][s["start"] : s["stop"]]) for s in w["loss"]]
-                digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-                masked = "".join(loss)
-                row = (batch.column("conv_id")[i].as_py(), len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(masked), digest(masked), chars)
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
-            yield pa.record_batch({n: pa.array(x, k) for n, x, k in zip(names, out, kinds, strict=True)})
+                conv, text, new, spans = (batch.column(c)[i].as_py() for c in range(4))
+                if row is None or conv != row[0]:
+                    if row:
+                        done.append((row[0], row[1], turns.hexdigest(), row[2], loss.hexdigest(), row[3]))
+                    row, turns, loss = [conv, 0, 0, 0], hashlib.sha256(), hashlib.sha256()
+                for r, t in TURN.findall(text[new:]):
+                    row[1] += 1
+                    turns.update(f"{read_role(r)}\n{unescape(t)}\n".encode())
+                for s in spans:
+                    said = unescape(text[s["start"] : s["stop"]])
+                    row[2] += len(said)
+                    loss.update(said.encode())
+                row[3] += len(text)
+            yield pack(done)
+            done = []
+        if row:
+            yield pack([(row[0], row[1], turns.hexdigest(), row[2], loss.hexdigest(), row[3])])
 
     return rows.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
