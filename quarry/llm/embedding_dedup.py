@@ -59,7 +59,7 @@ def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int, seed: int)
                 part = batch.filter(pa.array(dims == d))
                 x = units(matrix(part.column("vec"))) @ rotation(int(d), seed)
                 for k, own in enumerate(blocks_of(int(d), blocks)):
-                    reach = np.sqrt((2 - 2 * cosine) * len(own) / d) + 1e-9
+                    reach = np.sqrt((2 - 2 * cosine) * len(own) / d + 1e-9)  # what compare() takes as near
                     at = np.floor(x[:, own[:grid]] / reach).astype(np.int64)
                     shift = x[:, own[:grid]] / reach - at
                     every = np.arange(len(x))
@@ -81,7 +81,7 @@ def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int, seed: int)
                     take = part.take(pa.array(row))
                     yield pa.record_batch({"dims": take.column("dims"), "block": pa.array(np.full(len(row), k), pa.int32()), "cell": pa.array(key), "asks": pa.array(np.concatenate(asks)), "inside": pa.array(np.concatenate(inside)), "v": take.column("v"), "size": take.column("size"), "vec": take.column("vec")})
 
-    return vectors.mapInArrow(place, "dims int, block int, cell long, asks boolean, inside boolean, v long, size long, vec array<float>")
+    return vectors.mapInArrow(place, "dims int, block int, cell long, asks boolean, inside boolean, v long, size long, vec " + vectors.schema["vec"].dataType.simpleString())
 
 
 def compare(tile: pa.Table, cosine: float, blocks: int, seed: int) -> pa.Table:
@@ -147,11 +147,12 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, gr
     Two rows are linked if the cosine of their vectors, in double precision, is at least `cosine`; n_links
     counts the other rows linked to a row, component_id is the least vec_id that links reach, kept says
     whether that is the row's own. Vectors that are null, empty or zero or hold null or non-finite components link with nothing, and
-    so do vectors of different lengths. Rows of one vec_id are rows of their own; a null vec_id counts as the
+    so do vectors of different lengths. Components are kept as they come, float or double. Rows of one vec_id are rows of their own; a null vec_id counts as the
     greatest. grid: dimensions of a block that the range join's grid has; more for more vectors, so that a
     cell's number of vectors stays bounded.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
+    kind = "array<double>" if "double" in vectors.schema["embedding"].dataType.simpleString() else "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     rows = rows.withColumn("ok", valid(F.col("vec")))
     classes = rows.where("ok").groupBy("vec").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = cut(classes.withColumns({"v": F.monotonically_increasing_id(), "dims": F.size("vec")}), "vectors")

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.llm.shared import partitions
 from quarry.llm.words import BASE, INVERSE, Words, chunks, mix, powers, windows
@@ -163,7 +164,7 @@ def remove(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     docs is of keyed(); a document's spans are no more than its words.
     """
     spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    carry = docs.schema["rest"].dataType.simpleString() if "rest" in docs.columns else ""
+    carry = [docs.schema[c] for c in ("rest", "text") if "rest" in docs.columns]
     joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left")
 
     def cutout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,5 +190,6 @@ def remove(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 rest = {"rest": part.column("rest"), "text": part.column("text")} if carry else {}
                 yield pa.record_batch(rest | {"doc_id": part.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string())})
 
-    out = joined.mapInArrow(cutout, (f"rest {carry}, text string, " if carry else "") + "doc_id long, n_words long, n_removed long, kept_text string")
+    own = [StructField(n, StringType() if n == "kept_text" else LongType()) for n in ("doc_id", "n_words", "n_removed", "kept_text")]
+    out = joined.mapInArrow(cutout, StructType(carry + own))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
