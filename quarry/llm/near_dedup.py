@@ -265,14 +265,15 @@ def prints(texts: DataFrame) -> DataFrame:
                 counts = np.bincount(w.doc * COUNTERS + (w.h % np.uint64(COUNTERS)).astype(np.int64), minlength=part.num_rows * COUNTERS)
                 rows = np.minimum(counts, 15).astype(np.uint8).reshape(part.num_rows, -1, 2)
                 rows = rows[:, :, 0] | rows[:, :, 1] << 4
-                yield pa.record_batch({"v": part.column("v"), "n": pa.array(w.counts(), pa.int64()), "print": pa.array([x.tobytes() for x in rows], pa.binary())})
+                yield pa.record_batch({"v": part.column("v"), "n": pa.array(w.counts(), pa.int64()), "print": pa.array([zstandard.compress(x.tobytes()) for x in rows], pa.binary())})
 
     return texts.mapInArrow(count, "v long, n long, print binary")
 
 
 def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of each print, COARSE sums and COUNTERS numbers."""
-    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COUNTERS // 2)
+    opened = zstandard.ZstdDecompressor().decompress
+    packed = np.frombuffer(b"".join(map(opened, column.to_pylist())), np.uint8).reshape(len(column), COUNTERS // 2)
     fine = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(column), COUNTERS).astype(np.int8)
     return fine.reshape(len(column), COARSE, -1).sum(axis=2, dtype=np.int8), fine
 
@@ -355,29 +356,29 @@ def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few
     done = stars.select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
     good = cut(verify(cut(may_align(done, marked, share), "pairs"), texts, share), "aligned")
 
-    worth = True
     for turn in range(ROUNDS + 1):
         roots = components(good).select(F.col("node").alias("v"), "root")
         known = [x for x in ("n", "print") if x in left.columns]
         joined = left.select("g", "v", *known).join(roots, "v", "left").select("g", "v", *known, F.coalesce("root", "v").alias("root"))
-        undone = joined.groupBy("g").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(v))").alias("same"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        undone = undone.groupBy("size", "same").agg(F.min("g").alias("g"))  # groups of the same members are one
-        left = joined.join(undone.select("g", "size"), "g")
+        picked = F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("r")), F.xxhash64("g", "root", F.lit(turn)))
+        undone = joined.groupBy("g").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(v))").alias("same"), F.min("root").alias("low"), F.max("root").alias("high"), picked.alias("p")).where("low <> high")
+        undone = undone.groupBy("size", "same").agg(F.min_by(F.struct("g", "p"), "g").alias("one"))  # groups of the same members are one
+        left = joined.join(undone.select("one.g", "size", "one.p.*"), "g")
         left = cut(left if known else left.join(marked, "v"), "left")
         parts = left.groupBy("g", "root", "size").agg(F.count("*").cast("double").alias("n"))
         rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("size") - F.col("n")) * F.col("n") / 2)).first()
         if not rows:
             return good
-        if pairs <= few * rows or turn == ROUNDS or not worth:
+        if pairs <= few * rows or turn == ROUNDS:
             break
-        picked = F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("r"), F.col("n").alias("nc"), F.col("print").alias("pc")), F.xxhash64("g", "root", F.lit(turn)))
-        star = left.join(left.groupBy("g").agg(picked.alias("p")).select("g", "p.*"), "g").where("root <> r")
+        star = left.where("root <> r").join(marked.select(F.col("v").alias("c"), F.col("n").alias("nc"), F.col("print").alias("pc")), "c")
         star = star.select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb"), F.col("print").alias("pa"), F.col("pc").alias("pb"))
         more = cut(bounded(star, share).distinct().join(done, ["a", "b"], "left_anti"), "more")
         done = done.union(more)
         found = cut(verify(more, texts, share), "aligned")
         good = good.union(found)
-        worth = found.count() >= YIELD * more.count()  # else stars join too little to go on
+        if found.count() < YIELD * more.count():  # stars join too little to go on
+            break
     rest = cut(all_pairs(left, int(rows), share, tile).join(done, ["a", "b"], "left_anti"), "rest")
     return good.union(cut(verify(rest, texts, share), "aligned"))
 
