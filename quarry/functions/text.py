@@ -9,17 +9,35 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"[\p{L}\p{N}]+"
-# Phrases of questions, by what they ask for.
-SECRET_WORDS = ["password", "api key", "secret", "token", "credential"]
-CURRENT_WORDS = ["current", "now", "today", "latest"]
-HISTORICAL_WORDS = ["previous", "before", "historical", "used to", "formerly"]
-RELATION_WORDS = ["connected to", "related to", "depends on", "linked to", "belongs to"]
+# Phrases of questions, by what they ask for, words that ask for the present, and words that say nothing.
+SECRET_PHRASES = [
+    "api key", "credential", "credentials", "password", "passphrase", "private key", "recovery code", "rotation code",
+    "secret", "access token", "api token", "auth token", "bearer token", "token value",
+]
+HISTORICAL_PHRASES = ["before ", "formerly", "historical", "history", "previously", "prior to", "used to", "why was"]
+CURRENT_TERMS = ["accepted", "current", "currently", "latest", "now", "recent", "recently", "today"]
+RELATIONAL_PHRASES = [
+    "connected to", "connected with", "depend on", "depends on", "linked to", "managed by", "manages", "owned by", "owns",
+    "powered by", "powers", "rack that", "related to", "reports to", "which host", "which rack", "which service", "who manages",
+    "who owns",
+]
+STOP_WORDS = (
+    "a about an and are at be by can did do does for from how in is it me of on please should tell the this to was were what "
+    "when where which who why will with would"
+).split()
+PERSONAL_TERMS, WORK_TERMS = ["personal"], ["work", "workspace", "company"]
 # Tags by what they say of a concept.
 SENSITIVE_TAGS = ["credential", "credentials", "secret", "secrets"]
 STALE_TAGS = ["conflicting", "historical", "obsolete", "stale"]
 STALE_STATES = ["deprecated", "tombstone"]
-# Shapes of secrets.
-SECRETS = [r"(?i)api[_-]?key\s*[:=]\s*\S{8,}", r"(?i)(password|passwd|pwd)\s*[:=]\s*\S{6,}", r"AKIA[0-9A-Z]{16}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)bearer\s+[a-z0-9._-]{20,}"]
+# Shapes of secrets, in any case.
+SECRETS = [
+    r"AKIA[0-9A-Z]{16}",
+    r"gh[pousr]_[A-Za-z0-9]{20,}",
+    r"(?:api|secret|access)[_-]?key\s*[:=]\s*[A-Za-z0-9_\-]{16,}",
+    r"(?:token|bearer)\s*[:=]\s*[A-Za-z0-9_\-]{16,}",
+    r"-----BEGIN [A-Z ]+PRIVATE KEY-----",
+]
 
 
 def fold(text: Column) -> Column:
@@ -55,6 +73,11 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\\[\]()*_`#>|])", r"\\$1")
 
 
+def embedding_text(title: Column, description: Column, body: Column) -> Column:
+    """The text that is embedded: title, description and body, trimmed, those that aren't empty parted by a blank line."""
+    return F.concat_ws("\n\n", *[F.nullif(F.trim(x), F.lit("")) for x in (title, description, body)])
+
+
 def link_path(href: Column) -> Column:
     return F.substring_index(href, "#", 1)
 
@@ -72,11 +95,11 @@ def entropy(text: Column) -> Column:
 
 
 def has_secret(text: Column, length: int = 32, bits: float = 3.5) -> Column:
-    """Whether a text has the shape of a secret, or a long word of high entropy."""
+    """Whether a text has the shape of a secret, or a long word of high entropy; a null text has none."""
     shape = F.lit(False)
     for pattern in SECRETS:
-        shape = shape | text.rlike(pattern)
-    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{%d,}" % length), F.lit(0))
+        shape = shape | text.rlike("(?i)" + pattern)
+    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/=_-]{%d,}" % length), F.lit(0))
     return F.coalesce(shape | F.exists(words, lambda w: entropy(w) >= bits), F.lit(False))
 
 
@@ -92,11 +115,14 @@ def normalised_question(q: Column) -> Column:
 
 
 def question_profile(q: Column) -> Column:
-    """What a question asks for: struct(secret, temporal, relational, namespace)."""
+    """What a question asks for: struct(secret, temporal, relational, namespace, terms); terms are sorted, joined by spaces."""
     q = normalised_question(q)
-    temporal = F.when(any_of(q, HISTORICAL_WORDS), "historical").when(any_of(q, CURRENT_WORDS), "current").otherwise("neutral")
-    space = F.when(q.contains("personal"), "personal").when(q.rlike(r"\bwork\b"), "work").otherwise("")
-    return F.struct(any_of(q, SECRET_WORDS).alias("secret"), temporal.alias("temporal"), any_of(q, RELATION_WORDS).alias("relational"), space.alias("namespace"))
+    words = F.regexp_extract_all(q, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    some = lambda names: F.arrays_overlap(words, F.array(*[F.lit(x) for x in names]))
+    temporal = F.when(any_of(q, HISTORICAL_PHRASES), "historical").when(some(CURRENT_TERMS), "current").otherwise("neutral")
+    space = F.when(some(PERSONAL_TERMS), "personal").when(some(WORK_TERMS), "work").otherwise("")
+    terms = F.array_join(F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))), " ")
+    return F.struct(any_of(q, SECRET_PHRASES).alias("secret"), temporal.alias("temporal"), any_of(q, RELATIONAL_PHRASES).alias("relational"), space.alias("namespace"), terms.alias("terms"))
 
 
 def semver(v: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,18 @@ def diagnostic(rows: DataFrame, rule: str, severity: str) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "id")
 
 
+def named_diagnostics(rows: DataFrame) -> DataFrame:
+    """(severity, rule, diagnostic_id, id) of (rule, severity, id): ids are made of the rule and the concept, so they stay from run to run."""
+    digest = F.substring(F.sha2(F.concat("rule", F.lit("\0"), "id"), 256), 1, 16)
+    return rows.select("severity", "rule", F.concat(F.lit("diagnostic:"), "rule", F.lit(":"), digest).alias("diagnostic_id"), "id")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two sets' elements the share that both have; 0 where both are empty."""
+    every = F.size(F.array_union(a, b))
+    return F.when(every > 0, F.size(F.array_intersect(a, b)) / every).otherwise(0.0)
+
+
 def duplicate_groups(concepts: DataFrame) -> DataFrame:
     """(content_hash, n, first_id): texts that several concepts have."""
     return concepts.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")

@@ -6,13 +6,17 @@ narrow projection: no postings are shuffled. `postings` gives the table for the
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import ACCENTED, PLAIN, tokens
 
 # Weights of the fields, BM25's constants, and those of rank fusion.
-WEIGHTS = {"title": 5.0, "tags": 1.0, "body": 5.0, "path": 1.0}
+WEIGHTS = {"title": 5.0, "description": 5.0, "aliases": 4.0, "tags": 1.0, "body": 5.0, "path": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF, LEXICAL, SEMANTIC = 60, 0.5, 1.0
 MOST = 100
@@ -42,7 +46,22 @@ def filtered(concepts: DataFrame, kind: str | None = None, status: str | None =
 
 
 def fields(concepts: DataFrame) -> DataFrame:
-    return concepts.withColumns({"_title": tokens(F.col("title")), "_tags": tokens(F.array_join("tags", " ")), "_body": tokens(F.col("body")), "_path": tokens(F.col("path"))})
+    """concepts with _<field>, the tokens of each field of WEIGHTS; lists are joined, and a column that isn't there is empty."""
+
+    def text(name: str) -> Column:
+        if name not in concepts.columns:
+            return F.lit("")
+        return F.array_join(name, " ") if concepts.schema[name].dataType.typeName() == "array" else F.col(name)
+
+    return concepts.withColumns({"_" + f: tokens(text(f)) for f in WEIGHTS})
+
+
+def plain_terms(text: str) -> list[str]:
+    """The terms of a plain query, in order, repeats kept: as tokens(), of one string. No term at all is an error."""
+    found = re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    if not found:
+        raise ValueError("a query needs a letter or digit")
+    return found
 
 
 def postings(concepts: DataFrame) -> DataFrame:
@@ -55,6 +74,8 @@ def counts(concepts: DataFrame, terms: list[str]) -> DataFrame:
     """concepts with len and, for each term, w<i>, its weighted count over the fields."""
     rows = fields(concepts)
     times = lambda f, t: F.size(F.filter(F.col("_" + f), lambda x: x == t)).cast("double") * WEIGHTS[f]
+    if not terms:
+        raise ValueError("a query needs a term")
     cols = {f"w{i}": sum((times(f, t) for f in WEIGHTS), F.lit(0.0)) for i, t in enumerate(terms)}
     size = sum((F.size("_" + f) for f in WEIGHTS), F.lit(0)).cast("double")
     return rows.withColumns(cols | {"len": size}).drop(*["_" + f for f in WEIGHTS])
@@ -88,6 +109,28 @@ def page(rows: DataFrame, order: list[Column], limit: int = 20, offset: int = 0)
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, MOST)))
 
 
+def page_with_next(rows: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page, as page() has it, with place (from 1) and has_next, whether a row comes after it: one row more is looked at."""
+    limit = max(1, min(limit, MOST))
+    ahead = rows.orderBy(*order).offset(max(0, offset)).limit(limit + 1)
+    place = ahead.withColumns({"place": F.row_number().over(Window.orderBy(*order)), "has_next": F.count("*").over(Window.partitionBy()) > limit})
+    return place.where(F.col("place") <= limit)
+
+
+def search(concepts: DataFrame, text: str, vectors: DataFrame | None = None, asked: list[float] | None = None, limit: int = 20, offset: int = 0, prefixes: list[str] | None = None, **filters) -> DataFrame:
+    """A page of a search: hybrid if vectors and the question's vector are given and some are ready, else lexical.
+
+    filters: of filtered(). They and the prefixes hold for what comes back, not for the statistics. Columns: id, score, place,
+    has_next. A lexical search is what answers where no vector is ready.
+    """
+    lexical = filtered(bm25(concepts, plain_terms(text), prefixes=prefixes), **filters).select("id", "score")
+    if vectors is None or asked is None or vectors.where("status = 'ready'").isEmpty():
+        return page_with_next(lexical, [F.desc("score"), F.col("id")], limit, offset)
+    scope = filtered(concepts.where(visible(prefixes)), **filters).select("id")
+    fused = hybrid(lexical, semantic(vectors.join(scope, "id", "left_semi"), asked)).select("id", F.col("fused").alias("score"))
+    return page_with_next(fused, [F.desc("score"), F.col("id")], limit, offset)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -116,16 +159,36 @@ def hybrid(lexical: DataFrame, similar: DataFrame, candidates: int = 200) -> Dat
     return both.withColumn("fused", F.coalesce(F.lit(LEXICAL) / (F.lit(RRF) + F.col("lexical_rank")), F.lit(0.0)) + F.lit(SEMANTIC) / (F.lit(RRF) + F.col("semantic_rank")))
 
 
-def neighbours(vectors: DataFrame, least: float = 0.75, k: int = 12) -> DataFrame:
-    """(a, b, cosine): the k nearest ready vectors of each with cosine of at least `least`, within one label.
+def neighbours(vectors: DataFrame, least: float = 0.75, k: int = 12, tile: int = 2000) -> DataFrame:
+    """(a, b, cosine, rank): the k nearest ready vectors of each with cosine of at least `least`; ties by id.
 
-    Labels are the model's partition, so pairs meet by an equi-join, never across the table.
+    Vectors of one length are dealt to tiles, and tiles meet two by two: a product of matrices each, of which
+    each vector keeps its k best, so rows that travel on are at most k for a vector and a tile. The work grows with the square
+    of the vectors. Invalid vectors (null, zero, not finite) have no neighbours.
     """
-    ready = vectors.where("status = 'ready'")
-    a, b = (ready.select(F.col("label"), F.col("id").alias(x), F.col("embedding").alias("v" + x)) for x in "ab")
-    pairs = a.join(b, "label").where("a <> b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= least)
+    ready = vectors.where((F.col("status") == "ready") & valid_vector(F.col("embedding"))).select("id", F.col("embedding").cast("array<double>").alias("vec"), F.size("embedding").alias("dims"))
+    tiles = max(1, -(-ready.count() // tile))
+    dealt = ready.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
+
+    def meet(t: pa.Table) -> pa.Table:
+        v = np.array(t["vec"].combine_chunks().flatten()).reshape(t.num_rows, -1)
+        v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        ids, own = np.array(t["id"].to_pylist(), object), np.array(t["own"])
+        low, high = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        out: tuple[list, list, list] = ([], [], [])
+        for rows, others in ((low, high),) if own.min() == own.max() else ((low, high), (high, low)):
+            cos = v[rows] @ v[others].T
+            for i, c in zip(rows, cos, strict=True):
+                near = np.flatnonzero((c >= least) & (others != i))
+                for j in sorted(near, key=lambda j: (-c[j], ids[others[j]]))[:k]:
+                    for column, value in zip(out, (ids[i], ids[others[j]], float(c[j])), strict=True):
+                        column.append(value)
+        return pa.table({"a": pa.array(out[0], pa.string()), "b": pa.array(out[1], pa.string()), "cosine": pa.array(out[2], pa.float64())})
+
+    best = dealt.groupBy("dims", "x", "y").applyInArrow(meet, "a string, b string, cosine double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def mutual(nearest: DataFrame) -> DataFrame:

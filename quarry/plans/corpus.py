@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import SECRETS, entropy, namespace, normalised_question, question_profile, semver
+from quarry.functions import text as X
+from quarry.functions.text import entropy, namespace, normalised_question, question_profile, semver
 from quarry.operators import evidence as E
 from quarry.operators.state import patched, revision_diff, upsert
 from quarry.operators.similar import similar_titles
@@ -15,7 +16,7 @@ from quarry.sources.tables import concepts, table
 QUERIES, ORACLES, query = registry()
 
 # Questions that hold the profiles' phrases, beside those of the table.
-QUESTIONS = ["What is the API key?", "What is current in my personal memory?", "What was used before migration?", "Which rack is Atlas connected to?", "What is in the work workspace?", "Show my usage trend"]
+QUESTIONS = ["What is the API key?", "What is current in my personal memory?", "What was used before migration?", "Which rack is Atlas connected to?", "What is in the work workspace?", "Show my token usage trend", "What is my passphrase?", "Who owns Atlas?"]
 ASKED = "asked AS (SELECT text AS q FROM conversations WHERE role = 'user' UNION ALL SELECT unnest([" + ", ".join(f"'{q}'" for q in QUESTIONS) + "]))"
 NORMAL = r"n AS (SELECT q, lower(trim(regexp_replace(coalesce(q, ''), '\s+', ' ', 'g'))) AS t FROM asked)"
 
@@ -29,7 +30,16 @@ def has(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
 
 
-@query(ASKED, NORMAL, f"SELECT q, {has(['password', 'api key', 'secret', 'token', 'credential'])} AS secret, CASE WHEN {has(['previous', 'before', 'historical', 'used to', 'formerly'])} THEN 'historical' WHEN {has(['current', 'now', 'today', 'latest'])} THEN 'current' ELSE 'neutral' END AS temporal, {has(['connected to', 'related to', 'depends on', 'linked to', 'belongs to'])} AS relational, CASE WHEN contains(t, 'personal') THEN 'personal' WHEN regexp_matches(t, '\\bwork\\b') THEN 'work' ELSE '' END AS namespace FROM n")
+def member(words: list[str]) -> str:
+    return "list_has_any(ws, [" + ", ".join(f"'{w}'" for w in words) + "])"
+
+
+@query(ASKED, NORMAL, r"w AS (SELECT *, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS ws FROM n)",
+       f"""SELECT q, {has(X.SECRET_PHRASES)} AS secret,
+  CASE WHEN {has(X.HISTORICAL_PHRASES)} THEN 'historical' WHEN {member(X.CURRENT_TERMS)} THEN 'current' ELSE 'neutral' END AS temporal,
+  {has(X.RELATIONAL_PHRASES)} AS relational,
+  CASE WHEN {member(X.PERSONAL_TERMS)} THEN 'personal' WHEN {member(X.WORK_TERMS)} THEN 'work' ELSE '' END AS namespace,
+  array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: NOT list_contains({X.STOP_WORDS}, w)))), ' ') AS terms FROM w""")
 def question_profiles(spark, sf_dir):
     return asked(spark, sf_dir).select("q", question_profile(F.col("q")).alias("p")).select("q", "p.*")
 
@@ -112,12 +122,22 @@ def namespaces(spark, sf_dir):
     return concepts(spark, sf_dir).select(namespace(F.col("path")).alias("namespace")).distinct()
 
 
-@query(CONCEPTS, "SELECT id FROM concepts WHERE " + " OR ".join(f"regexp_matches(body, '{p}')" for p in SECRETS))
-def secret_scan_regex(spark, sf_dir):
-    shape = F.lit(False)
-    for p in SECRETS:
-        shape = shape | F.col("body").rlike(p)
-    return concepts(spark, sf_dir).where(shape).select("id")
+SHAPES = " OR ".join(f"regexp_matches(body, '(?i){p}')" for p in X.SECRETS)
+
+
+@query(CONCEPTS, f"SELECT id FROM concepts WHERE {SHAPES} OR len(list_filter(regexp_extract_all(body, '[A-Za-z0-9+/=_-]{{32,}}'), lambda w: list_entropy(string_split(w, '')) >= 3.5)) > 0")
+def secret_scan(spark, sf_dir):
+    return concepts(spark, sf_dir).where(X.has_secret(F.col("body"))).select("id")
+
+
+@query(CONCEPTS, r"SELECT id, sha256(concat_ws(chr(10) || chr(10), nullif(trim(title), ''), nullif(trim(body), ''))) AS embedding_text_hash FROM concepts")
+def embedding_text(spark, sf_dir):
+    return concepts(spark, sf_dir).select("id", F.sha2(X.embedding_text(F.col("title"), F.lit(None).cast("string"), F.col("body")), 256).alias("embedding_text_hash"))
+
+
+@query(CONCEPTS, "SELECT namespace, type AS value, count(*) AS n FROM concepts GROUP BY namespace, type")
+def namespace_histogram(spark, sf_dir):
+    return concepts(spark, sf_dir).groupBy("namespace", F.col("type").alias("value")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT kind, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT event_type AS kind, count(*) / sum(count(*)) OVER (PARTITION BY event_type) AS p FROM (SELECT DISTINCT event_type, unnest(range(1, length(event_type) + 1)) AS i FROM events) t GROUP BY event_type, substr(event_type, i, 1)) GROUP BY kind")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
@@ -131,7 +134,7 @@ def overview_metrics(spark, sf_dir):
     return sums.withColumn("sparse", (F.col("nodes") >= 12) & few & (F.col("orphans") / F.col("nodes") >= 0.5))
 
 
-EDGES = "edges AS (SELECT 0 AS layer, source_id AS a, target_id AS b FROM links WHERE target_id IS NOT NULL UNION ALL SELECT 1, a.id, b.id FROM vectors a JOIN vectors b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95 AND a.status = 'ready' AND b.status = 'ready')"
+EDGES = "edges AS (SELECT 0 AS layer, source_id AS a, target_id AS b FROM links WHERE target_id IS NOT NULL UNION ALL SELECT 1, a.id, b.id FROM vectors a JOIN vectors b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95 AND a.status = 'ready' AND b.status = 'ready')"
 
 
 @query(GRAPH, VECTORS, EDGES, "SELECT layer::INT AS layer, a, b FROM edges ORDER BY layer, a, b LIMIT 500")
@@ -211,6 +214,29 @@ def diag_namespace_outlier(spark, sf_dir):
     return G.namespace_outliers(*linked(spark, sf_dir))
 
 
+@query(CONCEPTS, "chain AS (SELECT DISTINCT a, b FROM (SELECT id AS a, lead(id) OVER (PARTITION BY t ORDER BY id) AS b FROM (SELECT id, unnest(tags) AS t FROM concepts)) WHERE b IS NOT NULL)",
+       "SELECT a, b, round(len(list_intersect(x.tags, y.tags)) / len(list_distinct(list_concat(x.tags, y.tags))), 6) AS jaccard FROM chain JOIN concepts x ON x.id = a JOIN concepts y ON y.id = b")
+def tag_jaccard(spark, sf_dir):
+    c = concepts(spark, sf_dir)
+    pairs = G.tag_chain(c).select("a", "b").distinct()
+    for x in "ab":
+        pairs = pairs.join(c.select(F.col("id").alias(x), F.col("tags").alias("t" + x)), x)
+    return pairs.select("a", "b", F.round(G.jaccard(F.col("ta"), F.col("tb")), 6).alias("jaccard"))
+
+
+RULES = ["orphan", "broken_links", "high_degree", "isolated_cluster", "embedding_failed", "embedding_missing", "embedding_stale", "index_stale", "pending_proposals"]
+
+
+def diag_all(spark, sf_dir):
+    """All rules that name single concepts, in one table with their ids."""
+    rows = [QUERIES[f"diag_{r}"](spark, sf_dir) for r in RULES]
+    rows += [G.diagnostic(QUERIES[f"diag_{r}"](spark, sf_dir), r, s) for r, s in (("size_outlier", "warning"), ("tag_drift", "info"), ("namespace_outlier", "info"))]
+    return G.named_diagnostics(reduce(DataFrame.union, rows))
+
+
+QUERIES["diag_all"] = diag_all
+
+
 @query(CONCEPTS, "SELECT content_hash, count(*) AS n, min(id) AS first_id FROM concepts GROUP BY content_hash HAVING count(*) > 1")
 def diag_exact_duplicate(spark, sf_dir):
     return G.duplicate_groups(concepts(spark, sf_dir))
@@ -219,3 +245,8 @@ def diag_exact_duplicate(spark, sf_dir):
 @query(CONCEPTS, "SELECT list_sort(list(strlen(body)))[round_even((count(*) - 1) * 0.95, 0)::BIGINT + 1]::BIGINT AS rank_value FROM concepts")
 def nearest_rank_p95(spark, sf_dir):
     return G.nearest_rank(concepts(spark, sf_dir).select(F.octet_length("body").cast("long").alias("x")), "x", 0.95)
+
+
+_ALL = [f"SELECT rule, severity, id FROM ({ORACLES['diag_' + r]})" for r in RULES]
+_ALL += [f"SELECT '{r}', '{s}', id FROM ({ORACLES['diag_' + r]})" for r, s in (("size_outlier", "warning"), ("tag_drift", "info"), ("namespace_outlier", "info"))]
+ORACLES["diag_all"] = "SELECT severity, rule, 'diagnostic:' || rule || ':' || substr(sha256(rule || chr(0) || id), 1, 16) AS diagnostic_id, id FROM (" + " UNION ALL ".join(_ALL) + ")"

@@ -19,9 +19,10 @@ CONCEPTS = """concepts AS (
   FROM (SELECT *, ['concept', 'instance', 'person', 'project', 'service', 'system'][doc_id % 6 + 1] AS kind FROM documents) d
   LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id)"""
 VECTORS = """vectors AS (SELECT vec_id, printf('doc-%08d', vec_id) AS id, embedding::DOUBLE[] AS v, label,
-  CASE WHEN vec_id % 10 = 0 THEN 'stale' WHEN vec_id % 10 = 1 THEN 'missing' ELSE 'ready' END AS status FROM embeddings)"""
+  CASE WHEN vec_id % 10 = 0 THEN 'stale' WHEN vec_id % 10 = 1 THEN 'missing' WHEN vec_id % 10 = 2 THEN 'error' ELSE 'ready' END AS status FROM embeddings)"""
 GRAPH = """nodes AS (SELECT 's' || s_suppkey AS id, '/suppliers/s' || s_suppkey || '.md' AS path, '/suppliers/' AS namespace FROM supplier
-    UNION ALL SELECT 'p' || p_partkey, '/parts/p' || p_partkey || '.md', '/parts/' FROM part WHERE p_size <= 40),
+    UNION ALL SELECT 'p' || p_partkey, '/parts/p' || p_partkey || '.md', '/parts/' FROM part WHERE p_size <= 40
+    UNION ALL SELECT 'n' || n_nationkey, '/nations/n' || n_nationkey || '.md', '/nations/' FROM nation),
 raw AS (SELECT 's' || l_suppkey AS source_id, '/parts/p' || l_partkey || '.md' AS target_path FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45
     UNION ALL SELECT 'p' || l_partkey, '/suppliers/s' || min(l_suppkey) || '.md' FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 40) GROUP BY l_partkey),
 links AS (SELECT source_id, target_path, id AS target_id FROM raw LEFT JOIN nodes ON path = target_path)"""

@@ -95,6 +95,16 @@ def bm25_global_stats(spark, sf_dir):
     return ranked(S.page(S.bm25(concepts(spark, sf_dir), ["from", "with"], prefixes=PREFIXES), [F.desc("score"), F.col("id")]))
 
 
+_FOUND = bm25_sql(["from", "license", "from"], scope=SCOPE + " AND id IN (SELECT id FROM concepts WHERE status = 'active' AND list_contains(tags, 'en'))", end="")
+
+
+@query(*_FOUND[:-1], f"found AS ({_FOUND[-1].replace('round(score, 6)', 'score')})", "ahead AS (SELECT id, score FROM found ORDER BY score DESC, id LIMIT 6 OFFSET 5)",
+       "SELECT id, round(score, 6) AS score, place::INT AS place, has_next FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place, count(*) OVER () > 5 AS has_next FROM ahead) WHERE place <= 5")
+def search_page(spark, sf_dir):
+    out = S.search(concepts(spark, sf_dir), "From: license, FROM!", limit=5, offset=5, prefixes=PREFIXES, status="active", tags=("en",))
+    return out.select("id", F.round("score", 6).alias("score"), "place", "has_next")
+
+
 @query(CONCEPTS, f"SELECT t AS term, count(*) AS df, sum(c)::BIGINT AS tf FROM (SELECT id, t, count(*) AS c FROM (SELECT id, unnest({tokens_sql('body')}) AS t FROM concepts) GROUP BY id, t) GROUP BY t")
 def body_vocabulary(spark, sf_dir):
     p = S.postings(concepts(spark, sf_dir)).where("field = 'body'")
@@ -147,7 +157,7 @@ def vector_valid(spark, sf_dir):
 
 
 NEAREST = """nearest AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r
-  FROM vectors a JOIN vectors b ON a.label = b.label AND a.id <> b.id WHERE a.status = 'ready' AND b.status = 'ready' AND list_cosine_similarity(a.v, b.v) >= 0.5) WHERE r <= 5)"""
+  FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.status = 'ready' AND b.status = 'ready' AND list_cosine_similarity(a.v, b.v) >= 0.5) WHERE r <= 5)"""
 
 
 @query(VECTORS, NEAREST, "SELECT a, b, r::INT AS rank, round(c, 6) AS cosine FROM nearest")

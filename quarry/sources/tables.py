@@ -38,14 +38,15 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    status = F.when(F.col("vec_id") % 10 == 0, "stale").when(F.col("vec_id") % 10 == 1, "missing").otherwise("ready")
+    status = F.when(F.col("vec_id") % 10 == 0, "stale").when(F.col("vec_id") % 10 == 1, "missing").when(F.col("vec_id") % 10 == 2, "error").otherwise("ready")
     return e.select("vec_id", F.format_string("doc-%08d", "vec_id").alias("id"), "embedding", "label", status.alias("status"))
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = lambda df, key, letter, space: df.select(F.concat(F.lit(letter), key).alias("id"), F.concat(F.lit(f"/{space}/{letter}"), key, F.lit(".md")).alias("path"), F.lit(f"/{space}/").alias("namespace"))
     parts = table(spark, sf_dir, "part").where("p_size <= 40")
-    return node(table(spark, sf_dir, "supplier"), "s_suppkey", "s", "suppliers").union(node(parts, "p_partkey", "p", "parts"))
+    nodes = node(table(spark, sf_dir, "supplier"), "s_suppkey", "s", "suppliers").union(node(parts, "p_partkey", "p", "parts"))
+    return nodes.union(node(table(spark, sf_dir, "nation"), "n_nationkey", "n", "nations"))  # nothing links to these
 
 
 def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
