@@ -71,14 +71,14 @@ def postings(concepts: DataFrame) -> DataFrame:
 
 
 def counts(concepts: DataFrame, terms: list[str]) -> DataFrame:
-    """concepts with len and, for each term, w<i>, its weighted count over the fields."""
+    """concepts with _len and, for each term, _w<i>, its weighted count over the fields."""
     rows = fields(concepts)
     times = lambda f, t: F.size(F.filter(F.col("_" + f), lambda x: x == t)).cast("double") * WEIGHTS[f]
     if not terms:
         raise ValueError("a query needs a term")
-    cols = {f"w{i}": sum((times(f, t) for f in WEIGHTS), F.lit(0.0)) for i, t in enumerate(terms)}
+    cols = {f"_w{i}": sum((times(f, t) for f in WEIGHTS), F.lit(0.0)) for i, t in enumerate(terms)}
     size = sum((F.size("_" + f) for f in WEIGHTS), F.lit(0)).cast("double")
-    return rows.withColumns(cols | {"len": size}).drop(*["_" + f for f in WEIGHTS])
+    return rows.withColumns(cols | {"_len": size}).drop(*["_" + f for f in WEIGHTS])
 
 
 def bm25(concepts: DataFrame, terms: list[str], every: bool = False, prefixes: list[str] | None = None, scoped_stats: bool = False) -> DataFrame:
@@ -89,19 +89,19 @@ def bm25(concepts: DataFrame, terms: list[str], every: bool = False, prefixes: l
     """
     rows = counts(concepts, terms)
     seen = rows.where(visible(prefixes)) if scoped_stats else rows
-    stats = seen.agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"w{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms))])
+    stats = seen.agg(F.count("*").cast("double").alias("_N"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_w{i}") > 0).cast("double").alias(f"_n{i}") for i in range(len(terms))])
     rows = rows.where(visible(prefixes))
-    hit = [F.col(f"w{i}") > 0 for i in range(len(terms))]
+    hit = [F.col(f"_w{i}") > 0 for i in range(len(terms))]
     keep = hit[0]
     for h in hit[1:]:
         keep = keep & h if every else keep | h
     out = rows.where(keep).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.greatest(F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(LEAST_IDF))
-        f = F.col(f"w{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return out.withColumn("score", score).drop("N", "avg", "len", *[f"{x}{i}" for x in "nw" for i in range(len(terms))])
+        idf = F.greatest(F.log((F.col("_N") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5)), F.lit(LEAST_IDF))
+        f = F.col(f"_w{i}")
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+    return out.withColumn("score", score).drop("_N", "_avg", "_len", *[f"_{x}{i}" for x in "nw" for i in range(len(terms))])
 
 
 def page(rows: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -> DataFrame:
