@@ -310,12 +310,17 @@ def may_align(pairs: DataFrame, marked: DataFrame, share: float) -> DataFrame:
 
 
 def possible(rows: pa.Table, share: float) -> pa.Table:
-    """Pairs (a, b) of rows (g, x, y, t, v, n, root, print) of one g that may align and have different roots; where x <> y, of different t."""
+    """Pairs (a, b) of rows (g, x, y, t, v, n, root, gs, print) of one g that may align and have different roots; where x <> y, of different t.
+
+    gs are all the groups of a row, and a pair comes out in the first group only that both are in.
+    """
     g, x, y, t, v, n, root = (np.asarray(rows.column(c)) for c in ("g", "x", "y", "t", "v", "n", "root"))
     order = np.lexsort((n, g))
     g, t, v, n, root, across = g[order], t[order], v[order], n[order], root[order], (x != y)[order]
     coarse, fine = (x[order] for x in numbers(rows.column("print").combine_chunks()))
     most = allowed(n, share)
+    lists = rows.column("gs").to_pylist()
+    before = [frozenset(x for x in lists[i] if x < own) for i, own in zip(order.tolist(), g.tolist(), strict=True)]
     out: list[list[np.ndarray]] = [[], []]
     edge = np.flatnonzero(np.diff(g, append=~g[-1:])) + 1
     end = edge[np.searchsorted(edge, np.arange(len(g)), "right")]
@@ -327,6 +332,7 @@ def possible(rows: pa.Table, share: float) -> pa.Table:
         if len(j):
             j = j[edits_at_least(coarse[j], coarse[i]) <= most[j]]
             j = j[edits_at_least(fine[j], fine[i]) <= most[j]]
+            j = j[np.array([before[i].isdisjoint(before[at]) for at in j.tolist()], bool)]
             out[0].append(np.minimum(v[i], v[j]))
             out[1].append(np.maximum(v[i], v[j]))
     a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
@@ -334,12 +340,12 @@ def possible(rows: pa.Table, share: float) -> pa.Table:
 
 
 def all_pairs(left: DataFrame, rows: int, share: float, tile: int) -> DataFrame:
-    """Pairs (a, b) of members (g, size, v, n, root, print) of one group that may align and have different roots. Large groups are dealt out in tiles."""
+    """Pairs (a, b) of members (g, size, v, n, root, gs, print) of one group that may align and have different roots. Large groups are dealt out in tiles."""
     tiles = F.ceil(F.col("size") / tile).cast("int")
     left = left.withColumn("t", F.pmod(F.xxhash64("v", "g"), tiles).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), tiles - 1)))
     left = left.withColumn("x", F.least("t", "u")).withColumn("y", F.greatest("t", "u"))
     left = left.withColumn("k", F.when(F.col("size") <= tile, F.pmod("g", F.lit(max(48, rows // 20000)))).otherwise(F.col("g")))
-    dealt = left.select("k", "x", "y", "g", "t", "v", "n", "root", "print").groupBy("k", "x", "y")
+    dealt = left.select("k", "x", "y", "g", "t", "v", "n", "root", "gs", "print").groupBy("k", "x", "y")
     return dealt.applyInArrow(lambda t: possible(t, share), "a long, b long").distinct()
 
 
@@ -358,13 +364,15 @@ def links(docs: DataFrame, nodes: DataFrame, share: float, tile: int = TILE, few
 
     for turn in range(ROUNDS + 1):
         roots = components(good).select(F.col("node").alias("v"), "root")
-        known = [x for x in ("n", "print") if x in left.columns]
+        known = [x for x in ("n", "print", "gs") if x in left.columns]
         joined = left.select("g", "v", *known).join(roots, "v", "left").select("g", "v", *known, F.coalesce("root", "v").alias("root"))
         picked = F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("r")), F.xxhash64("g", "root", F.lit(turn)))
         undone = joined.groupBy("g").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(v))").alias("same"), F.min("root").alias("low"), F.max("root").alias("high"), picked.alias("p")).where("low <> high")
         undone = undone.groupBy("size", "same").agg(F.min_by(F.struct("g", "p"), "g").alias("one"))  # groups of the same members are one
         left = joined.join(undone.select("one.g", "size", "one.p.*"), "g")
-        left = cut(left if known else left.join(marked, "v"), "left")
+        left = cut(left, "left")
+        if not known:  # groups of the same members stay one, so a row's list is good for all turns
+            left = cut(left.join(marked.join(left.groupBy("v").agg(F.collect_set("g").alias("gs")), "v"), "v"), "members")
         parts = left.groupBy("g", "root", "size").agg(F.count("*").cast("double").alias("n"))
         rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("size") - F.col("n")) * F.col("n") / 2)).first()
         if not rows:
