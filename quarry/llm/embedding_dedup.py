@@ -7,8 +7,9 @@ where it is within a small distance: a range join there, on a grid over the bloc
 cells as wide as that distance, finds all candidates. Each is verified by its cosine in double precision, in
 the first block that it shows in, so that no pair counts twice.
 
-Equal vectors are one class. A cell's vectors are split into tiles of bounded size; tiles meet pairwise, and give
-a count for each vector and a few links that join what is linked, never a row for each pair.
+Equal vectors are one class. Into cells go ids with a byte for each component of the block. A cell's rows are split into
+tiles of bounded size; tiles meet pairwise, and only rows that have another in reach there, by a bound that the bytes' rounding
+can't break, get their vectors. These give a count for each vector and a few links that join what is linked, never a row for each pair.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quarry.llm.shared import components, cut
 
 #: Vectors of a cell that a tile holds, about.
 TILE = 1500
+#: Of a component from 0 to 1 in the codes of cells.
+STEPS = 127
 
 
 def rotation(dims: int, seed: int) -> np.ndarray:
@@ -50,7 +53,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int, seed: int) -> DataFrame:
-    """(dims, block, cell, asks, inside, v, size, vec): each vector once at home in each block, and asking in cells in reach."""
+    """(dims, block, cell, asks, inside, v, code): each vector once at home in each block, and asking in cells in reach.
+
+    code has the vector's components in the block, rotated, as whole numbers of 1 / STEPS.
+    """
 
     def place(batches):
         for batch in batches:
@@ -60,8 +66,10 @@ def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int, seed: int)
                 x = units(matrix(part.column("vec"))) @ rotation(int(d), seed)
                 for k, own in enumerate(blocks_of(int(d), blocks)):
                     reach = np.sqrt((2 - 2 * cosine) * len(own) / d + 1e-9)  # what compare() takes as near
-                    at = np.floor(x[:, own[:grid]] / reach).astype(np.int64)
-                    shift = x[:, own[:grid]] / reach - at
+                    base = 2 * int(np.ceil(1 / reach)) + 5
+                    first = own[: max(1, min(grid, int(62 / np.log2(base))))]  # as many as keep the numbers of cells apart
+                    at = np.floor(x[:, first] / reach).astype(np.int64)
+                    shift = x[:, first] / reach - at
                     every = np.arange(len(x))
                     # at home, asking there, and asking in the cells after it that have a point in reach; those before it ask here
                     rows, asked, asks = [every, every], [at, at], [np.zeros(len(x), bool), np.ones(len(x), bool)]
@@ -77,11 +85,38 @@ def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int, seed: int)
                     row, cell = np.concatenate(rows), np.concatenate(asked)
                     key = np.zeros(len(cell), np.int64)
                     for j in range(cell.shape[1]):
-                        key = key * 1009 + cell[:, j] + 500
-                    take = part.take(pa.array(row))
-                    yield pa.record_batch({"dims": take.column("dims"), "block": pa.array(np.full(len(row), k), pa.int32()), "cell": pa.array(key), "asks": pa.array(np.concatenate(asks)), "inside": pa.array(np.concatenate(inside)), "v": take.column("v"), "size": take.column("size"), "vec": take.column("vec")})
+                        key = key * base + cell[:, j] + base // 2
+                    code = np.rint(x[:, own] * STEPS).astype(np.int8)
+                    codes = pa.array([c.tobytes() for c in code], pa.binary()).take(pa.array(row))
+                    columns = {"dims": part.column("dims").take(pa.array(row)), "block": pa.array(np.full(len(row), k), pa.int32()), "cell": pa.array(key)}
+                    flags = {"asks": pa.array(np.concatenate(asks)), "inside": pa.array(np.concatenate(inside))}
+                    yield pa.record_batch(columns | flags | {"v": part.column("v").take(pa.array(row)), "code": codes})
+
+    return vectors.mapInArrow(place, "dims int, block int, cell long, asks boolean, inside boolean, v long, code binary")
+
+
+def promising(tile: pa.Table, cosine: float) -> pa.Table:
+    """Rows of a tile, without codes, that have one in reach on the other side.
 
-    return vectors.mapInArrow(place, "dims int, block int, cell long, asks boolean, inside boolean, v long, size long, vec " + vectors.schema["vec"].dataType.simpleString())
+    A code is off by half a step at most in each component, so the distance of two by the root of their length at most.
+    """
+    asks = np.array(tile["asks"].cast(pa.uint8()).combine_chunks(), bool)
+    v = np.array(tile["v"])
+    a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+    keep = np.zeros(len(v), bool)
+    if len(a) and len(b):
+        code = np.frombuffer(b"".join(tile["code"].to_pylist()), np.int8).reshape(len(v), -1)
+        length, d = code.shape[1], int(tile["dims"][0].as_py())
+        code = code.astype(np.float32 if length <= 256 else np.float64)  # which holds these sums exactly
+        most = (STEPS * np.sqrt((2 - 2 * cosine) * length / d + 1e-9) + np.sqrt(length)) ** 2 + 1
+        squares = (code * code).sum(axis=1)
+        for at in range(0, len(a), 500):
+            i = a[at : at + 500]
+            near = squares[i][:, None] + squares[b] - 2 * code[i] @ code[b].T <= most
+            near &= v[i][:, None] != v[b]
+            keep[i] = near.any(axis=1)
+            keep[b] |= near.any(axis=0)
+    return tile.drop_columns(["code"]).filter(pa.array(keep))
 
 
 def compare(tile: pa.Table, cosine: float, blocks: int, seed: int) -> pa.Table:
@@ -159,7 +194,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, gr
     if grid is None:
         n = classes.count()
         grid = int(np.clip(np.ceil(np.log(max(n, 2) / 2000) / np.log(5)), 1, 6))
-    placed = cut(cells(classes.select("dims", "v", "size", "vec"), cosine, blocks, grid, seed), "cells")
+    placed = cut(cells(classes.select("dims", "v", "vec"), cosine, blocks, grid, seed), "cells")
     key = ["dims", "block", "cell"]
     most = placed.groupBy(key).agg(F.ceil(F.count(F.when(~F.col("asks"), 1)) / tile).alias("homes"), F.ceil(F.count(F.when(F.col("asks"), 1)) / tile).alias("visits"))
     most = most.where("homes > 0 and visits > 0")
@@ -168,8 +203,11 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, gr
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), F.col("homes")).otherwise(F.col("visits")) - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
     dealt = dealt.withColumns({"x": F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")), "y": F.when(F.col("asks"), F.col("own")).otherwise(F.col("other"))})
-    dealt = dealt.select(*key, "x", "y", "asks", "inside", "v", "size", "vec")
-    met = cut(dealt.groupBy(*key, "x", "y").applyInArrow(lambda t: compare(t, cosine, blocks, seed), "v long, other long, n long"), "met")
+    dealt = dealt.select(*key, "x", "y", "asks", "inside", "v", "code")
+    light = "dims int, block int, cell long, x long, y long, asks boolean, inside boolean, v long"
+    some = cut(dealt.groupBy(*key, "x", "y").applyInArrow(lambda t: promising(t, cosine), light), "promising")
+    some = some.join(classes.select("v", "size", "vec"), "v").select(*key, "x", "y", "asks", "inside", "v", "size", "vec")
+    met = cut(some.groupBy(*key, "x", "y").applyInArrow(lambda t: compare(t, cosine, blocks, seed), "v long, other long, n long"), "met")
     counts = met.groupBy("v").agg(F.sum("n").alias("n"))
     roots = components(met.where("other is not null").select(F.col("v").alias("a"), F.col("other").alias("b")))
     rooted = classes.select("v", "vec", "size", "least").join(counts, "v", "left").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
