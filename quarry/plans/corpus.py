@@ -8,7 +8,7 @@ from quarry.functions import text as X
 from quarry.functions.text import entropy, namespace, normalised_question, question_profile, semver
 from quarry.operators import evidence as E
 from quarry.operators.state import patched, revision_diff, upsert
-from quarry.operators.similar import similar_titles
+from quarry.operators.similar import equal_titles, similar_concepts, similar_titles
 from quarry.plans.registry import CONCEPTS, registry
 from quarry.sources import markdown as M
 from quarry.sources.tables import concepts, table
@@ -173,6 +173,17 @@ def near_duplicate_titles(spark, sf_dir):
     return similar_titles(concepts(spark, sf_dir))
 
 
+@query(CONCEPTS, "SELECT id, min(id) OVER (PARTITION BY lower(title)) AS first FROM concepts WHERE status = 'active' AND title IS NOT NULL")
+def equal_title_members(spark, sf_dir):
+    return equal_titles(concepts(spark, sf_dir))
+
+
+@query()
+def near_duplicate_concepts(spark, sf_dir):
+    """Titles, descriptions (the body's next line's worth of text) and tags together."""
+    return similar_concepts(concepts(spark, sf_dir).withColumn("description", F.substring("body", 81, 100)))
+
+
 @query()
 def markdown_links(spark, sf_dir):
     c = concepts(spark, sf_dir)
