@@ -203,7 +203,8 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, gr
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), F.col("homes")).otherwise(F.col("visits")) - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
     dealt = dealt.withColumns({"x": F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")), "y": F.when(F.col("asks"), F.col("own")).otherwise(F.col("other"))})
-    dealt = dealt.select(*key, "x", "y", "asks", "inside", "v", "code")
+    # by the tile, else the join's partitioning would hold, with all tiles of a cell in one task
+    dealt = dealt.select(*key, "x", "y", "asks", "inside", "v", "code").repartition(*key, "x", "y")
     light = "dims int, block int, cell long, x long, y long, asks boolean, inside boolean, v long"
     some = cut(dealt.groupBy(*key, "x", "y").applyInArrow(lambda t: promising(t, cosine), light), "promising")
     some = some.join(classes.select("v", "size", "vec"), "v").select(*key, "x", "y", "asks", "inside", "v", "size", "vec")
