@@ -74,7 +74,6 @@ def test_near_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'x' as v", "2 as g").repartition(5)
     got = {x.doc_id: x.class_id for x in near_duplicates(df).collect()}
     want = brute_near(rows)
-    want[206], want[207] = got[206], got[207]  # one k-mer each, of which none is shared
     assert got == want
 
 
