@@ -162,6 +162,7 @@ def banded(a: list, b: list, band: int) -> int:
     Each column of the band is a number: vp has the rows where the distance is one more than above, vn one less.
     """
     n, width = len(a), 2 * band + 1
+    most = 2 * band + max(0, len(b) - n)  # edits can still fall by the columns of the last row
     full = (1 << width) - 1
     at: dict[int, int] = {}
     for i, x in enumerate(a):
@@ -179,7 +180,7 @@ def banded(a: list, b: list, band: int) -> int:
         else:  # along the last row
             edits += bool(hp & last) - bool(hn & last)
             last >>= 1
-        if edits > 2 * band:
+        if edits > most:
             return band + 1
         d0 >>= 1
         vp = hn | (full & ~(d0 | hp))

@@ -3,9 +3,9 @@
 import random
 
 import pytest
-from test_near import brute_near, classes
+from test_near import brute_near, classes, may_join
 
-from quarry.llm.near_dedup import EXACT, aligned, blocks_of, links, near_duplicates
+from quarry.llm.near_dedup import EXACT, blocks_of, links, near_duplicates
 
 
 def edited(w, places, tag):
@@ -26,7 +26,7 @@ def test_group_without_leftovers(spark, tile, few):
     docs = spark.createDataFrame([(i, 0, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, th int, text string")
     nodes = spark.createDataFrame([(i, len(w), (i, 0), [7, 8]) for i, w in enumerate(rows)], "v long, n long, at struct<doc_id: long, th: int>, sk array<long>")
     found = [(x.a, x.b) for x in links(docs, nodes, 0.8, tile=tile, few=few).collect()]
-    want = [(i, j) for j in range(len(rows)) for i in range(j) if aligned(rows[i], rows[j], 0.8)]
+    want = [(i, j) for j in range(len(rows)) for i in range(j) if may_join(rows[i], rows[j], 0.8)]
     assert set(found) <= set(want)
     assert classes(range(len(rows)), found) == classes(range(len(rows)), want)
 
@@ -49,7 +49,7 @@ def test_blocks_find_all():
         words = range(r.choice([2, 4, 50]))
         a = [r.choice(words) for _ in range(r.randrange(5, EXACT + 1))]
         b = changed(r, a, len(a) // 5, words)
-        if a != b and len(b) <= EXACT and aligned(a, b, 0.8):
+        if a != b and len(b) <= EXACT and may_join(a, b, 0.8):
             found += 1
             assert set(blocks_of(a, 0.8)) & set(blocks_of(b, 0.8))
     assert found > 1000
@@ -68,3 +68,20 @@ def test_scattered_edits(spark):
     got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_near(rows)
     assert len(set(got.values())) == len(rows) // 2
+
+
+@pytest.mark.parametrize("where", ["front", "end", "middle", "scattered"])
+def test_words_put_in(spark, where):
+    """Texts, and each again with 16 % of words put in, before or behind it by id."""
+    r = random.Random(where)
+    rows = []
+    for i in range(60):
+        a = [f"w{r.randrange(9000)}" for _ in range(r.randrange(20, 400))]
+        b, k = list(a), int(len(a) * 0.16)
+        at = {"front": 0, "end": len(a), "middle": len(a) // 2}.get(where)
+        for j in range(k):
+            b.insert(r.randrange(len(b) + 1) if at is None else at, f"p{r.randrange(9000)}")
+        rows += [(2 * i + j, " ".join(x)) for j, x in enumerate(r.sample([a, b], 2))]
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [i for i in range(60) if got[2 * i + 1] != 2 * i]
+    assert missed == []
