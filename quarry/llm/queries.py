@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies one operator to its whole table."""
+"""The queries op1 to op13: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -14,9 +14,11 @@ from quarry.llm.chat import chat_windows, read_back
 from quarry.llm.embedding_dedup import linked_vectors
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack_documents
+from quarry.llm.periodic import longest, periodic_runs, with_period
 from quarry.llm.quality import quality_rules
 from quarry.llm.substring_dedup import dedup_substrings
 from quarry.llm.suffix_dedup import dedup_suffixes
+from quarry.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +154,37 @@ FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(s) AS total FROM s
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses_by_document(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_period(table(spark, sf_dir, "documents")), least=6, periods=4)
+    best = longest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    out = out.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+# Runs of 5 words at i and i + q: all of them next to one another, for one q, are a stretch of period q.
+ORACLES["op13_periodic_runs"] = f"""
+WITH h AS (SELECT doc_id, {WORDS} AS ws, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) AS h FROM documents),
+p AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM h),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE ws[1:a] || list_transform(range(a, n), lambda i: ws[1 + a + (i - a) % (1 + (n - a) // (3 + g % 8))]) END AS ws FROM p),
+gram AS (SELECT doc_id, n, i, md5(array_to_string(ws[i + 1:i + 5], ' ')) AS k FROM (SELECT *, unnest(range(0, n - 4)) AS i FROM d WHERE n >= 6)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM gram x JOIN gram y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (SELECT doc_id, q, min(i) AS s, max(i) + 5 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pair) GROUP BY doc_id, q, island),
+run AS (SELECT doc_id, s, e - s AS l, min(q) AS q FROM stretch WHERE e - s >= greatest(6, 4 * q) GROUP BY doc_id, s, e),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs,
+           first({{'s': s, 'l': l, 'q': q}} ORDER BY l DESC, s, q) AS best FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told ON d.doc_id = told.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
