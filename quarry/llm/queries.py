@@ -16,6 +16,7 @@ from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack_documents
 from quarry.llm.periodic import longest, periodic_runs, with_period
 from quarry.llm.quality import quality_rules
+from quarry.llm.secret_scan import secrets
 from quarry.llm.substring_dedup import dedup_substrings
 from quarry.llm.suffix_dedup import dedup_suffixes
 from quarry.llm.whitening import whiten
@@ -156,6 +157,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses_by_document(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets(table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    return out.select("row.doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), most=16)
