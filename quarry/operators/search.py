@@ -1,7 +1,7 @@
 """Search over concepts: scoped BM25, vector and hybrid ranking.
 
-A query's terms are few, so a search is one pass over the fields for corpus statistics and one for scores, each a
-narrow projection: no postings are shuffled. `postings` gives the table for the case that they are kept.
+bm25() scores a table of concepts as it stands, in one pass for statistics and one for scores. operators.index keeps the postings of a
+corpus that many searches read, and gives the same scores.
 """
 
 from __future__ import annotations
@@ -117,13 +117,18 @@ def page_with_next(rows: DataFrame, order: list[Column], limit: int = 20, offset
     return place.where(F.col("place") <= limit)
 
 
-def search(concepts: DataFrame, text: str, vectors: DataFrame | None = None, asked: list[float] | None = None, limit: int = 20, offset: int = 0, prefixes: list[str] | None = None, **filters) -> DataFrame:
+def search(concepts: DataFrame, text: str, vectors: DataFrame | None = None, asked: list[float] | None = None, limit: int = 20, offset: int = 0, prefixes: list[str] | None = None, lexical: DataFrame | None = None, **filters) -> DataFrame:
     """A page of a search: hybrid if vectors and the question's vector are given and some are ready, else lexical.
 
     filters: of filtered(). They and the prefixes hold for what comes back, not for the statistics. Columns: id, score, place,
-    has_next. A lexical search is what answers where no vector is ready.
+    has_next. A lexical search is what answers where no vector is ready. lexical: (id, score) where an index has them, else the
+    concepts are searched.
     """
-    lexical = filtered(bm25(concepts, plain_terms(text), prefixes=prefixes), **filters).select("id", "score")
+    if lexical is None:
+        lexical = bm25(concepts, plain_terms(text), prefixes=prefixes)
+    if any(filters.values()):
+        lexical = lexical.join(filtered(concepts, **filters).select("id"), "id", "left_semi")
+    lexical = lexical.select("id", "score")
     if vectors is None or asked is None or vectors.where("status = 'ready'").isEmpty():
         return page_with_next(lexical, [F.desc("score"), F.col("id")], limit, offset)
     scope = filtered(concepts.where(visible(prefixes)), **filters).select("id")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ACCENTED, PLAIN, reserved, snippet
+from quarry.operators import index as I
 from quarry.operators import search as S
+from quarry.operators.tables import run_dir
 from quarry.plans.registry import CONCEPTS, VECTORS, registry, tokens_sql
 from quarry.sources.tables import concepts, table, vectors
 
@@ -66,33 +68,47 @@ def bm25_sql(terms: list[str], every: bool = False, scope: str = "TRUE", stats:
     )
 
 
+def indexed(spark, sf_dir):
+    """The index of the concepts: made once in an application for the same files, as a service keeps it, and read by all searches."""
+    files = table(spark, sf_dir, "documents").select("_metadata.*").union(table(spark, sf_dir, "labels").select("_metadata.*"))
+    seen = files.select(F.xxhash64("file_path", "file_size", "file_modification_time").alias("h")).distinct().agg(F.expr("bit_xor(h)")).first()[0]
+    root = f"{run_dir(spark)}/index-{seen}"
+    return I.opened(spark, root) or I.build(concepts(spark, sf_dir), root)
+
+
+@query(CONCEPTS, f"SELECT count(*) AS docs, sum(len({tokens_sql('title')}) + len({tokens_sql('body')}) + len({tokens_sql('path')}) + len({tokens_sql("array_to_string(tags, ' ')")}))::BIGINT AS words FROM concepts")
+def index_build(spark, sf_dir):
+    i = indexed(spark, sf_dir)
+    return i.docs().agg(F.count("*").alias("docs"), F.sum("size").alias("words"))
+
+
 def ranked(rows):
     return rows.select("id", "path", F.round("score", 6).alias("score"))
 
 
 @query(*bm25_sql(["from", "license", "with"]))
 def bm25_plain_or(spark, sf_dir):
-    return ranked(S.page(S.bm25(concepts(spark, sf_dir), ["from", "license", "with"]), [F.desc("score"), F.col("id")]))
+    return ranked(S.page(I.scores(indexed(spark, sf_dir), ["from", "license", "with"]), [F.desc("score"), F.col("id")]))
 
 
 @query(*bm25_sql(["from", "with", "that"], every=True))
 def bm25_and(spark, sf_dir):
-    return ranked(S.page(S.bm25(concepts(spark, sf_dir), ["from", "with", "that"], every=True), [F.desc("score"), F.col("id")]))
+    return ranked(S.page(I.scores(indexed(spark, sf_dir), ["from", "with", "that"], every=True), [F.desc("score"), F.col("id")]))
 
 
 @query(*bm25_sql(["from", "with"], end="ORDER BY score DESC, id LIMIT 10 OFFSET 10"))
 def bm25_page2(spark, sf_dir):
-    return ranked(S.page(S.bm25(concepts(spark, sf_dir), ["from", "with"]), [F.desc("score"), F.col("id")], limit=10, offset=10))
+    return ranked(S.page(I.scores(indexed(spark, sf_dir), ["from", "with"]), [F.desc("score"), F.col("id")], limit=10, offset=10))
 
 
 @query(*bm25_sql(["from", "with"], scope=SCOPE, stats=SCOPE))
 def bm25_scoped_stats(spark, sf_dir):
-    return ranked(S.page(S.bm25(concepts(spark, sf_dir), ["from", "with"], prefixes=PREFIXES, scoped_stats=True), [F.desc("score"), F.col("id")]))
+    return ranked(S.page(I.scores(indexed(spark, sf_dir), ["from", "with"], prefixes=PREFIXES, scoped_stats=True), [F.desc("score"), F.col("id")]))
 
 
 @query(*bm25_sql(["from", "with"], scope=SCOPE))
 def bm25_global_stats(spark, sf_dir):
-    return ranked(S.page(S.bm25(concepts(spark, sf_dir), ["from", "with"], prefixes=PREFIXES), [F.desc("score"), F.col("id")]))
+    return ranked(S.page(I.scores(indexed(spark, sf_dir), ["from", "with"], prefixes=PREFIXES), [F.desc("score"), F.col("id")]))
 
 
 _FOUND = bm25_sql(["from", "license", "from"], scope=SCOPE + " AND id IN (SELECT id FROM concepts WHERE status = 'active' AND list_contains(tags, 'en'))", end="")
@@ -101,14 +117,72 @@ _FOUND = bm25_sql(["from", "license", "from"], scope=SCOPE + " AND id IN (SELECT
 @query(*_FOUND[:-1], f"found AS ({_FOUND[-1].replace('round(score, 6)', 'score')})", "ahead AS (SELECT id, score FROM found ORDER BY score DESC, id LIMIT 6 OFFSET 5)",
        "SELECT id, round(score, 6) AS score, place::INT AS place, has_next FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place, count(*) OVER () > 5 AS has_next FROM ahead) WHERE place <= 5")
 def search_page(spark, sf_dir):
-    out = S.search(concepts(spark, sf_dir), "From: license, FROM!", limit=5, offset=5, prefixes=PREFIXES, status="active", tags=("en",))
+    i, asked = indexed(spark, sf_dir), "From: license, FROM!"
+    out = S.search(i.docs(), asked, limit=5, offset=5, prefixes=PREFIXES, lexical=I.scores(i, S.plain_terms(asked), prefixes=PREFIXES), status="active", tags=("en",))
     return out.select("id", F.round("score", 6).alias("score"), "place", "has_next")
 
 
 @query(CONCEPTS, f"SELECT t AS term, count(*) AS df, sum(c)::BIGINT AS tf FROM (SELECT id, t, count(*) AS c FROM (SELECT id, unnest({tokens_sql('body')}) AS t FROM concepts) GROUP BY id, t) GROUP BY t")
 def body_vocabulary(spark, sf_dir):
-    p = S.postings(concepts(spark, sf_dir)).where("field = 'body'")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    p = indexed(spark, sf_dir).postings().where("tf_body > 0")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf_body").cast("long")).alias("tf"))
+
+
+def many_sql(every: bool, k: int, scope: str = "TRUE") -> tuple[str, ...]:
+    words = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')"
+    kept = f"list_filter({words}, lambda w: NOT list_contains({I.QUERY_STOP_WORDS}, lower(w)))"
+    chosen = words if every else f"CASE WHEN len({kept}) > 0 THEN list_distinct({kept}) ELSE list_distinct({words}) END"
+    fields = {"title": ("title", 5), "tags": ("array_to_string(tags, ' ')", 1), "body": ("body", 5), "path": ("path", 1)}
+    each = " UNION ALL ".join(f"SELECT id, unnest({tokens_sql(x)}) AS term, {w}::DOUBLE AS w FROM concepts" for x, w in fields.values())
+    return (
+        CONCEPTS,
+        f"asked AS (SELECT conv_id || ':' || turn AS qid, unnest({chosen}) AS word FROM conversations WHERE role = 'user')",
+        f"qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({tokens_sql('word')}) AS term FROM asked) GROUP BY qid, term)",
+        "need AS (SELECT qid, count(*) AS terms FROM qt GROUP BY qid)",
+        f"each_term AS ({each})",
+        "post AS (SELECT id, term, sum(w) AS w FROM each_term GROUP BY id, term)",
+        "size AS (SELECT id, count(*)::DOUBLE AS dl FROM each_term GROUP BY id)",
+        "st AS (SELECT (SELECT count(*) FROM concepts)::DOUBLE AS n, (SELECT sum(dl) FROM size) / (SELECT count(*) FROM concepts) AS mean)",
+        "dfs AS (SELECT term, count(*)::DOUBLE AS df FROM post GROUP BY term)",
+        f"hit AS (SELECT qid, id, count(*) AS hits, round(sum(times * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * w * 2.2::DOUBLE / (w + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 10) AS score FROM qt JOIN post USING (term) JOIN dfs USING (term) JOIN size USING (id) JOIN concepts USING (id), st WHERE {scope} GROUP BY qid, id)",
+        f"SELECT qid, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hit {'JOIN need USING (qid) WHERE hits = terms' if every else ''}) WHERE rank <= {k}",
+    )
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("qid"), "text")
+
+
+@query(*many_sql(False, 10))
+def search_questions(spark, sf_dir):
+    """All questions of the conversations, plain: any of their words but stop words."""
+    out = I.search_many(indexed(spark, sf_dir), questions(spark, sf_dir), 10)
+    return out.select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(*many_sql(True, 20, SCOPE))
+def search_box(spark, sf_dir):
+    """All questions as the graph's search box takes them: every word, in scope."""
+    out = I.search_many(indexed(spark, sf_dir), questions(spark, sf_dir), 20, every=True, prefixes=PREFIXES)
+    return out.select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(CONCEPTS, f"each_term AS ({' UNION ALL '.join(f'SELECT id, unnest({tokens_sql(x)}) AS term FROM concepts' for x in ('title', 'body', 'path', chr(34).join(('array_to_string(tags, ', ')')).replace(chr(34), chr(39) + ' ' + chr(39))))})",
+       "SELECT 'docs' AS name, count(*) AS left_rows, count(*) AS right_rows, 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM concepts UNION ALL SELECT 'postings', count(*), count(*), 0, 0 FROM (SELECT DISTINCT id, term FROM each_term) UNION ALL SELECT 'statistics', 1, 1, 0, 0")
+def index_parity(spark, sf_dir):
+    """An index of an older revision brought to this one by two updates, against one made anew.
+
+    The older revision lacks concepts, has others' bodies, and has some that are gone; all concepts are in the comparison.
+    """
+    from uuid import uuid4
+
+    now = concepts(spark, sf_dir)
+    old = now.where("doc_id % 11 <> 0").withColumn("body", F.when(F.col("doc_id") % 13 == 0, F.reverse("body")).otherwise(F.col("body")))
+    lost = now.where("doc_id % 17 = 0").withColumns({"id": F.concat(F.lit("old-"), "id"), "path": F.concat(F.lit("/old"), "path")})
+    i = I.build(old.unionByName(lost), f"{run_dir(spark)}/index-{uuid4().hex}")
+    i = I.update(i, now.where("doc_id % 13 = 0"), lost.select("id"))
+    i = I.update(i, now.where("doc_id % 11 = 0"), now.limit(0).select("id"))
+    return I.parity(i, indexed(spark, sf_dir))
 
 
 @query(CONCEPTS, r"SELECT id, substr(trim(regexp_replace(body, '\s+', ' ', 'g')), 1, 240) AS snippet FROM concepts WHERE status = 'active'")
@@ -140,7 +214,7 @@ _LEX = bm25_sql(["from", "with"], end="")
        f"sem AS (SELECT id, c, row_number() OVER (ORDER BY c DESC, id) AS r FROM (SELECT id, list_cosine_similarity(v, {ASKED_SQL}) AS c FROM vectors WHERE status = 'ready') ORDER BY c DESC, id LIMIT 200)",
        "SELECT s.id, s.r::INT AS semantic_rank, l.r::INT AS lexical_rank, round(coalesce(0.5::DOUBLE / (60 + l.r), 0) + 1.0::DOUBLE / (60 + s.r), 9) AS fused FROM sem s LEFT JOIN lex l ON s.id = l.id ORDER BY fused DESC, c DESC, s.id LIMIT 20")
 def hybrid_rrf(spark, sf_dir):
-    out = S.hybrid(S.bm25(concepts(spark, sf_dir), ["from", "with"]), S.semantic(vectors(spark, sf_dir), ASKED))
+    out = S.hybrid(I.scores(indexed(spark, sf_dir), ["from", "with"]), S.semantic(vectors(spark, sf_dir), ASKED))
     out = out.withColumn("fused", F.round("fused", 9))
     return S.page(out, [F.desc("fused"), F.desc("cosine"), F.col("id")]).select("id", "semantic_rank", "lexical_rank", "fused")
 
