@@ -21,10 +21,11 @@ RELATIONAL_PHRASES = [
     "powered by", "powers", "rack that", "related to", "reports to", "which host", "which rack", "which service", "who manages",
     "who owns",
 ]
-STOP_WORDS = (
-    "a about an and are at be by can did do does for from how in is it me of on please should tell the this to was were what "
-    "when where which who why will with would"
-).split()
+STOP_WORDS = [
+    "a", "about", "an", "and", "are", "at", "be", "by", "can", "did", "do", "does", "for", "from", "how", "in", "is", "it", "me", "of",
+    "on", "please", "should", "tell", "the", "this", "to", "was", "were", "what", "when", "where", "which", "who", "why", "will",
+    "with", "would",
+]
 PERSONAL_TERMS, WORK_TERMS = ["personal"], ["work", "workspace", "company"]
 # Tags by what they say of a concept.
 SENSITIVE_TAGS = ["credential", "credentials", "secret", "secrets"]
@@ -115,13 +116,13 @@ def normalised_question(q: Column) -> Column:
 
 
 def question_profile(q: Column) -> Column:
-    """What a question asks for: struct(secret, temporal, relational, namespace, terms); terms are sorted, joined by spaces."""
+    """What a question asks for: struct(secret, temporal, relational, namespace, terms); terms are in the question's order, each once, joined by spaces."""
     q = normalised_question(q)
     words = F.regexp_extract_all(q, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     some = lambda names: F.arrays_overlap(words, F.array(*[F.lit(x) for x in names]))
     temporal = F.when(any_of(q, HISTORICAL_PHRASES), "historical").when(some(CURRENT_TERMS), "current").otherwise("neutral")
     space = F.when(some(PERSONAL_TERMS), "personal").when(some(WORK_TERMS), "work").otherwise("")
-    terms = F.array_join(F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))), " ")
+    terms = F.array_join(F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS))), " ")
     return F.struct(any_of(q, SECRET_PHRASES).alias("secret"), temporal.alias("temporal"), any_of(q, RELATIONAL_PHRASES).alias("relational"), space.alias("namespace"), terms.alias("terms"))
 
 

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ranks import median, quantiles
+from quarry.operators.tables import components, cut, numbered
+
+#: Part of the text that positions are made of.
+LAYOUT = "layout-1"
+TURN = 6.283185307179586
+
 
 def resolve(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """links with target_id, null where no node has the path (broken)."""
@@ -59,9 +66,89 @@ def between(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def tag_chain(concepts: DataFrame) -> DataFrame:
-    """(tag, a, b): within each tag, each concept and the next by id."""
-    tags = concepts.select(F.explode("tags").alias("tag"), F.col("id").alias("a"))
-    return tags.withColumn("b", F.lead("a").over(Window.partitionBy("tag").orderBy("a"))).where("b is not null")
+    """(tag, a, b): within each tag, each concept and the next by id. A frequent tag is many tasks' work: each row meets the one of the next number."""
+    tags = numbered(concepts.select(F.explode("tags").alias("tag"), F.col("id").alias("a")), ["tag"], ["a"], "n")
+    tags = cut(tags, "tags")
+    return tags.join(tags.select("tag", F.col("a").alias("b"), (F.col("n") - 1).alias("n")), ["tag", "n"]).select("tag", "a", "b")
+
+
+def greedy_edges(edges: DataFrame, most: int) -> DataFrame:
+    """Those of edges (id, a, b, similarity) that a walk in order of similarity, then id, takes when no node may have more than `most`.
+
+    Edges are taken in rounds. One that is among the first of both its ends, of the edges still open there, no further down than places are left,
+    is taken by the walk too, whatever becomes of those before it; an end without places closes its edges. The first open edge
+    of all is always taken, so each round takes some. Only an end's first `most` open edges are looked at. Ids are keys; an edge from a node
+    to itself takes two of its places.
+    """
+    if most < 1:
+        return edges.limit(0)
+    taken, open_ = edges.limit(0), cut(edges.withColumns({"_a": F.lit(most), "_b": F.lit(most)}), "edges")
+    while True:
+        ends = open_.select("id", "similarity", F.col("a").alias("node"), F.col("_a").alias("places")).union(open_.select("id", "similarity", "b", "_b"))
+        first = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("similarity"), "id"))
+        ok = ends.withColumn("r", first).where(F.col("r") <= most).where("r <= places").groupBy("id").agg(F.count("*").alias("k")).where("k = 2")
+        new = cut(open_.join(ok.select("id"), "id", "left_semi").select(*edges.columns), "taken")
+        taken = taken.union(new)
+        used = new.select(F.col("a").alias("node")).union(new.select("b")).groupBy("node").agg(F.count("*").cast("int").alias("used"))
+        rest = open_.join(new.select("id"), "id", "left_anti")
+        for x in "ab":
+            rest = rest.join(used.select(F.col("node").alias(x), F.col("used").alias("u")), x, "left").withColumn("_" + x, F.col("_" + x) - F.coalesce("u", F.lit(0))).drop("u")
+        open_ = cut(rest.where("_a > 0 and _b > 0").select(*edges.columns, "_a", "_b"), "open")
+        if open_.isEmpty():
+            return taken
+
+
+def namespace_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, namespace, root, number, size): groups of nodes by links inside their namespace, each by its least id and its number in the namespace.
+
+    A namespace with several groups, at least half of them of one node, is one group of number 0. Links across namespaces, broken ones and
+    those of unknown nodes join nothing.
+    """
+    space = nodes.select("id", "namespace")
+    inner = links.where("target_id is not null").join(space.select(F.col("id").alias("source_id"), F.col("namespace").alias("s")), "source_id")
+    inner = inner.join(space.select(F.col("id").alias("target_id"), F.col("namespace").alias("t")), "target_id").where("s = t")
+    roots = components(inner.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+    named = cut(space.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
+    groups = named.groupBy("namespace", "root").agg(F.count("*").alias("size"))
+    spaces = groups.groupBy("namespace").agg(F.sum("size").alias("all"), F.min("root").alias("least"), (F.count("*") > 1).alias("many"), F.avg((F.col("size") == 1).cast("int")).alias("single"))
+    sparse = F.col("many") & (F.col("single") >= 0.5)
+    counted = numbered(groups, ["namespace"], ["root"], "number").join(spaces, "namespace")
+    one = counted.select("namespace", "root", F.when(sparse, F.col("least")).otherwise(F.col("root")).alias("group"), F.when(sparse, 0).otherwise(F.col("number") - 1).alias("number"), F.when(sparse, F.col("all")).otherwise(F.col("size")).alias("size"))
+    return named.join(one, ["namespace", "root"]).select("id", "namespace", F.col("group").alias("root"), "number", "size")
+
+
+def layout(nodes: DataFrame, links: DataFrame, limit: int = 500) -> DataFrame:
+    """(id, namespace, cluster): the cluster of each node, `limit` of them at most.
+
+    Clusters are namespace_groups(). Their ids hold the namespace, the number and a digest of the namespace, the number of members and the
+    least and greatest digests of their ids, so the same members give the same id in any order, and a change of members another. Beyond the limit the largest
+    limit - 1 stay, and the rest are cluster:overflow.
+    """
+    groups = cut(namespace_groups(nodes, links), "groups")
+    digest = F.sha2("id", 256)
+    ids = groups.groupBy("namespace", "root", "number").agg(F.count("*").alias("size"), F.min(digest).alias("low"), F.max(digest).alias("high"))
+    short = F.substring(F.sha2(F.concat_ws("\0", "namespace", F.col("size").cast("string"), "low", "high"), 256), 1, 12)
+    label = F.coalesce(F.nullif(F.btrim("namespace", F.lit("/")), F.lit("")), F.lit("root"))
+    ids = cut(ids.select("namespace", "root", "size", F.concat_ws(":", F.lit("cluster"), label, F.col("number").cast("string"), short).alias("cluster")), "clusters")
+    if ids.count() > limit:
+        top = ids.orderBy(F.desc("size"), "cluster").limit(limit - 1).select("cluster", F.lit(True).alias("kept"))
+        ids = ids.join(F.broadcast(top), "cluster", "left").withColumn("cluster", F.when(F.col("kept"), F.col("cluster")).otherwise("cluster:overflow"))  # limit rows
+    return groups.join(ids.select("namespace", "root", "cluster"), ["namespace", "root"]).select("id", "namespace", "cluster")
+
+
+def unit(text: Column, first: int) -> Column:
+    """Four bytes of a digest in hex, from its digit `first` on, as a number from 0 to 1."""
+    return F.conv(F.substring(text, first, 8), 16, 10).cast("double") / 2.0**32
+
+
+def placed(clusters: DataFrame, revision: str) -> DataFrame:
+    """clusters (cluster and more) with ordinal, total, x, y and z: on a circle in order of the id, moved a little by digests, the same for a revision."""
+    total = clusters.count()
+    rows = numbered(clusters, [], ["cluster"], "ordinal").withColumns({"ordinal": F.col("ordinal") - 1, "total": F.lit(total)})
+    digest = F.sha2(F.concat_ws("\0", F.lit(LAYOUT), F.lit(revision), "cluster"), 256)
+    angle = TURN * (F.col("ordinal") + 0.5 + (unit(digest, 1) - 0.5) * 0.2) / max(1, total)
+    radius = 3.0 + max(1, total) ** 0.5 * 0.6
+    return rows.withColumns({"x": F.cos(angle) * radius, "y": F.sin(angle) * radius, "z": (unit(digest, 9) - 0.5) * 2.0})
 
 
 def diagnostic(rows: DataFrame, rule: str, severity: str) -> DataFrame:
@@ -87,12 +174,17 @@ def duplicate_groups(concepts: DataFrame) -> DataFrame:
 
 
 def size_outliers(concepts: DataFrame, least: int = 4) -> DataFrame:
-    """(id, namespace, size): sizes over the namespace's median plus the greater of 1024 and six median deviations."""
-    rows = concepts.select("id", "namespace", F.octet_length(F.coalesce("body", F.lit(""))).cast("double").alias("size"))
-    mid = rows.groupBy("namespace").agg(F.median("size").alias("mid"), F.count("*").alias("n")).where(F.col("n") >= least)
-    off = rows.join(mid, "namespace").withColumn("off", F.abs(F.col("size") - F.col("mid")))
-    mad = off.groupBy("namespace").agg(F.median("off").alias("mad"))
-    return off.join(mad, "namespace").where(F.col("size") > F.col("mid") + F.greatest(F.lit(1024.0), 6 * F.col("mad"))).select("id", "namespace", F.col("size").cast("long").alias("size"))
+    """(id, namespace, size): sizes over the namespace's median plus the greater of 1024 and six median deviations.
+
+    Medians are found by selection, so no task holds a namespace's sizes. They go to all tasks where namespaces are few. Null bodies have no
+    size in bytes; rows of a null namespace are left out.
+    """
+    rows = concepts.where("namespace is not null").select("id", "namespace", F.octet_length(F.coalesce("body", F.lit(""))).cast("double").alias("size"))
+    mid = cut(median(rows, "size", "namespace").where(F.col("n") >= least), "medians")
+    few = F.broadcast if mid.count() <= 20_000 else (lambda df: df)
+    off = rows.join(few(mid.select("namespace", "mid")), "namespace").withColumn("off", F.abs(F.col("size") - F.col("mid")))
+    mad = median(off, "off", "namespace").select("namespace", F.col("mid").alias("mad"))
+    return off.join(few(mad), "namespace").where(F.col("size") > F.col("mid") + F.greatest(F.lit(1024.0), 6 * F.col("mad"))).select("id", "namespace", F.col("size").cast("long").alias("size"))
 
 
 def tag_drift(concepts: DataFrame, share: float = 0.75, least: int = 4) -> DataFrame:
@@ -105,12 +197,8 @@ def tag_drift(concepts: DataFrame, share: float = 0.75, least: int = 4) -> DataF
 
 
 def nearest_rank(rows: DataFrame, value: str, fraction: float) -> DataFrame:
-    """(rank_value): the value at place bround((n - 1) * fraction) in order, from counts of each value."""
-    tally = rows.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("c"))
-    total = tally.agg(F.sum("c").alias("n"))
-    # distinct values only; their running sum is over a table as small as the values are few
-    placed = tally.withColumn("so_far", F.sum("c").over(Window.orderBy("x")))
-    return placed.crossJoin(F.broadcast(total)).where(F.col("so_far") > F.bround((F.col("n") - 1) * fraction)).agg(F.min("x").alias("rank_value"))
+    """(rank_value): the value at place bround((n - 1) * fraction) in order, found by selection; null of no values."""
+    return quantiles(rows, value, [fraction], nearest=True).agg(F.max("x").alias("rank_value"))  # of one row
 
 
 def namespace_outliers(nodes: DataFrame, links: DataFrame, share: float = 0.8, least: int = 3) -> DataFrame:

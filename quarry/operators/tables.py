@@ -58,6 +58,23 @@ def newest(rows: DataFrame, keep: int, order: list[Column], scope: list[str] | N
     return rows.withColumn("_k", rank).where(F.col("_k") <= keep).drop("_k")
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with `name`, their number from 1 within a group of `by` by `order`, whatever a group's size.
+
+    Rows are sorted by ranges, so that a large group is many tasks' work; each task's rows of a group are counted, and a row's number is
+    its place among them and what earlier tasks have of the group. Rows of equal order get numbers of their own, in no set order.
+    """
+    dealt = cut(rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # of tasks, not of rows
+    sums = counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).select(*[F.col(c).alias("_" + c) for c in by], F.col("_p").alias("_q"), "_b")
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col("_" + c))
+    place = F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order))
+    return dealt.withColumn("_r", place).join(F.broadcast(sums) if not by else sums, same).select(*rows.columns, (F.col("_r") + F.col("_b")).alias(name))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every end of an edge (a, b), root being the least node that links reach.
 

@@ -39,7 +39,7 @@ def member(words: list[str]) -> str:
   CASE WHEN {has(X.HISTORICAL_PHRASES)} THEN 'historical' WHEN {member(X.CURRENT_TERMS)} THEN 'current' ELSE 'neutral' END AS temporal,
   {has(X.RELATIONAL_PHRASES)} AS relational,
   CASE WHEN {member(X.PERSONAL_TERMS)} THEN 'personal' WHEN {member(X.WORK_TERMS)} THEN 'work' ELSE '' END AS namespace,
-  array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: NOT list_contains({X.STOP_WORDS}, w)))), ' ') AS terms FROM w""")
+  array_to_string(list_filter(ws, lambda w, i: NOT list_contains({X.STOP_WORDS}, w) AND list_position(ws, w) = i), ' ') AS terms FROM w""")
 def question_profiles(spark, sf_dir):
     return asked(spark, sf_dir).select("q", question_profile(F.col("q")).alias("p")).select("q", "p.*")
 

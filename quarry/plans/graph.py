@@ -139,11 +139,59 @@ EDGES = "edges AS (SELECT 0 AS layer, source_id AS a, target_id AS b FROM links
 
 @query(GRAPH, VECTORS, EDGES, "SELECT layer::INT AS layer, a, b FROM edges ORDER BY layer, a, b LIMIT 500")
 def edge_budget(spark, sf_dir):
+    """Layers in turn: one is made only if those before it leave room, and of it no more than fits."""
     from quarry.operators.search import neighbours
 
-    explicit = linked(spark, sf_dir)[1].where("target_id is not null").select(F.lit(0).alias("layer"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    similar = neighbours(vectors(spark, sf_dir), 0.95, 1 << 30).where("a < b").select(F.lit(1), "a", "b")
-    return explicit.union(similar).orderBy("layer", "a", "b").limit(500)
+    budget = 500
+    out = linked(spark, sf_dir)[1].where("target_id is not null").select(F.lit(0).alias("layer"), F.col("source_id").alias("a"), F.col("target_id").alias("b")).orderBy("a", "b").limit(budget)
+    left = budget - out.count()
+    if left > 0:
+        similar = neighbours(vectors(spark, sf_dir), 0.95, left).where("a < b").select(F.lit(1).alias("layer"), "a", "b")
+        out = out.union(similar.orderBy("a", "b").limit(left))
+    return out
+
+
+LAYOUT = r"""inner_links AS (SELECT l.source_id AS a, l.target_id AS b FROM links l JOIN nodes s ON s.id = l.source_id JOIN nodes t ON t.id = l.target_id WHERE s.namespace = t.namespace),
+step AS (SELECT a, b FROM inner_links UNION SELECT b, a FROM inner_links),
+near AS (SELECT id AS a, id AS b FROM nodes UNION SELECT n.a, s.b FROM near n JOIN step s ON n.b = s.a),
+named AS (SELECT n.id, n.namespace, min(near.b) AS root FROM nodes n JOIN near ON near.a = n.id GROUP BY n.id, n.namespace),
+comp AS (SELECT namespace, root, count(*) AS size, row_number() OVER (PARTITION BY namespace ORDER BY root) - 1 AS number FROM named GROUP BY namespace, root),
+space AS (SELECT namespace, min(root) AS least, count(*) > 1 AND avg(CASE WHEN size = 1 THEN 1.0 ELSE 0.0 END) >= 0.5 AS sparse FROM comp GROUP BY namespace),
+grp AS (SELECT n.id, n.namespace, CASE WHEN sparse THEN least ELSE n.root END AS root, CASE WHEN sparse THEN 0 ELSE number END AS number FROM named n JOIN comp c ON c.namespace = n.namespace AND c.root = n.root JOIN space s ON s.namespace = n.namespace),
+ids0 AS (SELECT namespace, root, count(*) AS size, 'cluster:' || coalesce(nullif(trim(namespace, '/'), ''), 'root') || ':' || any_value(number) || ':' || substr(sha256(namespace || chr(0) || count(*) || chr(0) || min(sha256(id)) || chr(0) || max(sha256(id))), 1, 12) AS own FROM grp GROUP BY namespace, root),
+ids AS (SELECT *, CASE WHEN (SELECT count(*) FROM ids0) <= 5 OR row_number() OVER (ORDER BY size DESC, own) < 5 THEN own ELSE 'cluster:overflow' END AS cluster FROM ids0),
+laid AS (SELECT g.id, g.namespace, cluster FROM grp g JOIN ids USING (namespace, root))"""
+
+
+@query(GRAPH, LAYOUT, "SELECT id, namespace, cluster FROM laid")
+def layout_members(spark, sf_dir):
+    return G.layout(*linked(spark, sf_dir), limit=5)
+
+
+@query(GRAPH, LAYOUT, METRICS, "hexed AS (SELECT cluster, sha256('layout-1' || chr(0) || 'r1' || chr(0) || cluster) AS h, row_number() OVER (ORDER BY cluster) - 1 AS ordinal, count(*) OVER () AS total, n, inbound, outbound, broken FROM (SELECT cluster, count(*) AS n, sum(inbound)::BIGINT AS inbound, sum(outbound)::BIGINT AS outbound, sum(broken)::BIGINT AS broken FROM laid JOIN metrics USING (id) GROUP BY cluster))",
+       "num AS (SELECT *, list_reduce(list_prepend(0, [strpos('0123456789abcdef', c) - 1 FOR c IN string_split(substr(h, 1, 8), '')]), lambda x, y: x * 16 + y) / 4294967296.0 - 0.5 AS jitter, list_reduce(list_prepend(0, [strpos('0123456789abcdef', c) - 1 FOR c IN string_split(substr(h, 9, 8), '')]), lambda x, y: x * 16 + y) / 4294967296.0 - 0.5 AS up FROM hexed)",
+       "SELECT cluster, ordinal, total::INT AS total, n, inbound, outbound, broken, round(cos(2 * pi() * (ordinal + 0.5 + jitter * 0.2) / total) * (3 + sqrt(total) * 0.6), 6) AS x, round(sin(2 * pi() * (ordinal + 0.5 + jitter * 0.2) / total) * (3 + sqrt(total) * 0.6), 6) AS y, round(up * 2, 6) AS z FROM num")
+def layout_clusters(spark, sf_dir):
+    nodes, links = linked(spark, sf_dir)
+    rows = G.layout(nodes, links, limit=5).join(G.degrees(nodes, links), "id")
+    sums = rows.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("inbound", "outbound", "broken")])
+    return G.placed(sums, "r1").select("cluster", "ordinal", "total", "n", "inbound", "outbound", "broken", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(GRAPH, LAYOUT, "SELECT s.cluster AS source, t.cluster AS target, count(*) AS links FROM links l JOIN laid s ON s.id = l.source_id JOIN laid t ON t.id = l.target_id WHERE s.cluster <> t.cluster GROUP BY 1, 2")
+def layout_edges(spark, sf_dir):
+    nodes, links = linked(spark, sf_dir)
+    return G.between(links, G.layout(nodes, links, limit=5))
+
+
+@query()
+def display_edges(spark, sf_dir):
+    """Edges between similar vectors, five at a node at most, the most similar first; rounds have no SQL, the tests walk one by one."""
+    from quarry.operators.search import mutual, neighbours
+
+    pairs = mutual(neighbours(vectors(spark, sf_dir), 0.2, 12))
+    edges = pairs.select(F.concat_ws("|", "a", "b").alias("id"), "a", "b", F.round("cosine", 9).alias("similarity"))
+    return G.greedy_edges(edges, 5)
 
 
 RULE = "SELECT '{}' AS rule, '{}' AS severity, id FROM {}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import state as S
+from quarry.operators.ranks import quantiles
 from quarry.operators.tables import latest, newest
 from quarry.plans.registry import CONCEPTS, EVENTS, PROPOSALS, VECTORS, registry
 from quarry.sources.tables import concepts, events, proposals, vectors
@@ -155,8 +156,10 @@ def readiness(spark, sf_dir):
 
 @query(EVENTS, "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM ev GROUP BY event_type")
 def latency_report(spark, sf_dir):
-    cols = [F.round(F.percentile("value", F.lit(p)), 6).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), *cols)
+    e = events(spark, sf_dir)
+    found = quantiles(e, "value", [0.5, 0.95, 0.99], "event_type")
+    cols = [F.round(F.max(F.when(F.col("fraction") == p, F.col("x"))), 6).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
+    return found.groupBy(F.col("g").alias("event_type")).agg(*cols).join(e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
 
 
 @query(EVENTS, "SELECT user_id, count(*) FILTER (event_type = 'error') > 0 AND (SELECT count(DISTINCT user_id) FROM ev WHERE event_type = 'error') > 1 AS may_leave FROM ev GROUP BY user_id")

@@ -26,6 +26,8 @@ def test_profiles(spark):
         assert (x.p.secret, x.p.temporal, x.p.relational, x.p.namespace) == (x.s, x.t, x.r, x.n), x.q
     terms = df.limit(1).select(X.question_profile(F.col("q")).terms).first()[0]
     assert terms == "api key"
+    asked = spark.createDataFrame([("Which zebra follows the apple, zebra or Mango?",)], "q string")
+    assert asked.select(X.question_profile(F.col("q")).terms).first()[0] == "zebra follows apple or mango"
 
 
 def test_secrets(spark):
