@@ -184,6 +184,20 @@ def near_duplicate_concepts(spark, sf_dir):
     return similar_concepts(concepts(spark, sf_dir).withColumn("description", F.substring("body", 81, 100)))
 
 
+@query()
+def evidence_traversal(spark, sf_dir):
+    """Evidence for all questions of the conversations and the fixed ones, over links between concepts that follow one another in a tag."""
+    from quarry.operators.graph import tag_chain
+    from quarry.operators.index import search_many
+    from quarry.operators.traverse import MOST, traverse
+    from quarry.plans.search import indexed
+
+    questions = asked(spark, sf_dir).distinct().select(F.sha2(F.coalesce("q", F.lit("")), 256).alias("qid"), F.col("q").alias("text"))
+    c = concepts(spark, sf_dir)
+    links = tag_chain(c).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
+    return traverse(questions, search_many(indexed(spark, sf_dir), questions, MOST), c, links)
+
+
 @query()
 def markdown_links(spark, sf_dir):
     c = concepts(spark, sf_dir)
