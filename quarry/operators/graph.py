@@ -162,6 +162,12 @@ def named_diagnostics(rows: DataFrame) -> DataFrame:
     return rows.select("severity", "rule", F.concat(F.lit("diagnostic:"), "rule", F.lit(":"), digest).alias("diagnostic_id"), "id")
 
 
+def stale(now: DataFrame, had: DataFrame) -> DataFrame:
+    """(id) of now (id, hash) that had (id, hash) holds with another hash, or not at all: a revision against what was made of one."""
+    known = had.select("id", F.col("hash").alias("_had"))
+    return now.join(known, "id", "left").where(~F.col("hash").eqNullSafe(F.col("_had"))).select("id")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets' elements the share that both have; 0 where both are empty."""
     every = F.size(F.array_union(a, b))

@@ -140,10 +140,10 @@ def namespace_histogram(spark, sf_dir):
     return concepts(spark, sf_dir).groupBy("namespace", F.col("type").alias("value")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT kind, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT event_type AS kind, count(*) / sum(count(*)) OVER (PARTITION BY event_type) AS p FROM (SELECT DISTINCT event_type, unnest(range(1, length(event_type) + 1)) AS i FROM events) t GROUP BY event_type, substr(event_type, i, 1)) GROUP BY kind")
+@query(CONCEPTS, "SELECT id, round(list_entropy(string_split(title, '')), 6) AS bits FROM concepts WHERE title <> ''")
 def character_entropy(spark, sf_dir):
-    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind")).distinct()
-    return kinds.select("kind", F.round(entropy(F.col("kind")), 6).alias("bits"))
+    """Of all titles with a character."""
+    return concepts(spark, sf_dir).where("title <> ''").select("id", F.round(entropy(F.col("title")), 6).alias("bits"))
 
 
 VERSIONS = "v AS (SELECT p_brand AS pack, (p_partkey % 3) || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) AS version FROM part), s AS (SELECT DISTINCT pack, version, [x::INT FOR x IN string_split(version, '.')] AS key FROM v)"

@@ -232,8 +232,29 @@ def lifecycle(rule: str, severity: str, status: str):
 
 lifecycle("embedding_failed", "warning", "status = 'error'")
 lifecycle("embedding_missing", "info", "status not in ('ready', 'error')")
-lifecycle("embedding_stale", "warning", "status = 'ready' and vec_id % 7 = 3")
-lifecycle("index_stale", "error", "vec_id % 500 = 0")
+
+# No table has revisions: an older one is derived from the concepts, some without their last edit and some not there yet.
+OLDER = "older AS (SELECT id, sha256(CASE WHEN doc_id % 13 = 0 THEN body || 'old' ELSE body END) AS hash FROM concepts WHERE doc_id % 11 <> 0)"
+
+
+def older(spark, sf_dir):
+    c = concepts(spark, sf_dir).where("doc_id % 11 <> 0")
+    return c.select("id", F.sha2(F.when(F.col("doc_id") % 13 == 0, F.concat("body", F.lit("old"))).otherwise(F.col("body")), 256).alias("hash"))
+
+
+@query(CONCEPTS, OLDER, RULE.format("index_stale", "error", "(SELECT c.id FROM concepts c LEFT JOIN older o ON o.id = c.id WHERE o.hash IS DISTINCT FROM c.content_hash)"))
+def diag_index_stale(spark, sf_dir):
+    """Concepts that an index of the older revision lacks or has otherwise."""
+    now = concepts(spark, sf_dir).select("id", F.col("content_hash").alias("hash"))
+    return G.diagnostic(G.stale(now, older(spark, sf_dir)), "index_stale", "error")
+
+
+@query(CONCEPTS, VECTORS, OLDER, RULE.format("embedding_stale", "warning", "(SELECT v.id FROM vectors v JOIN concepts c ON c.id = v.id LEFT JOIN older o ON o.id = c.id WHERE v.status = 'ready' AND o.hash IS DISTINCT FROM c.content_hash)"))
+def diag_embedding_stale(spark, sf_dir):
+    """Ready vectors of texts that have changed since."""
+    ready = vectors(spark, sf_dir).where("status = 'ready'").select("id")
+    now = concepts(spark, sf_dir).select("id", F.col("content_hash").alias("hash")).join(ready, "id", "left_semi")
+    return G.diagnostic(G.stale(now, older(spark, sf_dir)), "embedding_stale", "warning")
 
 
 @query(PROPOSALS, RULE.format("pending_proposals", "info", "(SELECT DISTINCT path AS id FROM proposals WHERE status IN ('draft', 'submitted', 'approved'))"))
@@ -276,9 +297,10 @@ RULES = ["orphan", "broken_links", "high_degree", "isolated_cluster", "embedding
 
 
 def diag_all(spark, sf_dir):
-    """All rules that name single concepts, in one table with their ids."""
+    """All thirteen rules in one table with their ids; of equal texts the first is named."""
     rows = [QUERIES[f"diag_{r}"](spark, sf_dir) for r in RULES]
     rows += [G.diagnostic(QUERIES[f"diag_{r}"](spark, sf_dir), r, s) for r, s in (("size_outlier", "warning"), ("tag_drift", "info"), ("namespace_outlier", "info"))]
+    rows.append(G.diagnostic(QUERIES["diag_exact_duplicate"](spark, sf_dir).select(F.col("first_id").alias("id")), "exact_duplicate", "warning"))
     return G.named_diagnostics(reduce(DataFrame.union, rows))
 
 
@@ -297,4 +319,5 @@ def nearest_rank_p95(spark, sf_dir):
 
 _ALL = [f"SELECT rule, severity, id FROM ({ORACLES['diag_' + r]})" for r in RULES]
 _ALL += [f"SELECT '{r}', '{s}', id FROM ({ORACLES['diag_' + r]})" for r, s in (("size_outlier", "warning"), ("tag_drift", "info"), ("namespace_outlier", "info"))]
+_ALL.append(f"SELECT 'exact_duplicate', 'warning', first_id FROM ({ORACLES['diag_exact_duplicate']})")
 ORACLES["diag_all"] = "SELECT severity, rule, 'diagnostic:' || rule || ':' || substr(sha256(rule || chr(0) || id), 1, 16) AS diagnostic_id, id FROM (" + " UNION ALL ".join(_ALL) + ")"
