@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.nested import json_hash
+
 # States of proposals that are still open, and of operations that a crash left behind.
 PENDING = ["draft", "submitted", "approved"]
 INTERRUPTED = ["queued", "running", "recovering"]
@@ -85,3 +87,15 @@ def patched(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) ->
     """base with the patch's values where these aren't null."""
     p = patch.select(key, *[F.col(c).alias("_" + c) for c in columns])
     return base.join(p, key, "left").select(*[F.coalesce("_" + c, c).alias(c) if c in columns else F.col(c) for c in base.columns])
+
+
+def recent_activity(concepts: DataFrame, changes: DataFrame, since: str, now: str) -> DataFrame:
+    """(signal_type, id, path, severity, dedupe_key, evidence_hash): a signal for each concept that changes (path, change) name between two revisions.
+
+    Paths that no concept has any more give none, nor does a null path; the hash is of the evidence with its keys in order.
+    """
+    paths = changes.select("path").distinct()
+    evidence = F.to_json(F.struct("path", F.lit(since).alias("since_revision"), F.lit(now).alias("repo_revision")))
+    key = F.concat_ws("|", F.lit("recent_activity"), "id", F.lit(now))
+    rows = concepts.join(paths, "path", "left_semi")
+    return rows.select(F.lit("recent_activity").alias("signal_type"), "id", "path", F.lit("low").alias("severity"), key.alias("dedupe_key"), json_hash(evidence).alias("evidence_hash"))

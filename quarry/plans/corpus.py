@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.functions.text import entropy, namespace, normalised_question, question_profile, semver
 from quarry.operators import evidence as E
-from quarry.operators.state import patched, revision_diff, upsert
+from quarry.operators.nested import canonical, strings_under
+from quarry.operators.state import patched, recent_activity, revision_diff, upsert
 from quarry.operators.similar import equal_titles, similar_concepts, similar_titles
-from quarry.plans.registry import CONCEPTS, registry
+from quarry.plans.registry import CONCEPTS, PROPOSALS, registry
+from quarry.sources import bundle as B
 from quarry.sources import markdown as M
-from quarry.sources.tables import concepts, table
+from quarry.sources.tables import concepts, proposals, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -203,3 +205,70 @@ def markdown_links(spark, sf_dir):
     c = concepts(spark, sf_dir)
     page = F.concat("title", F.lit(" [next]("), "path", F.lit("#top) `[code](/no.md)` ![image](/no.png) [out](http://x.y)"))
     return M.links(c.select("id", page.alias("body")), "id")
+
+
+LINKED = "linked AS (SELECT c.*, coalesce(p.path, c.path) AS up, coalesce(p.doc_id, c.doc_id) AS up_id FROM concepts c LEFT JOIN concepts p ON p.doc_id = c.doc_id - 1)"
+
+
+@query(CONCEPTS, LINKED, "m AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN '/archive' || path ELSE path END AS own, CASE WHEN up_id % 7 = 0 THEN '/archive' || up ELSE up END AS top FROM linked)",
+       "SELECT id, own AS path, sha256('[own](' || own || '#top) ![up](' || top || ') `[code](' || up || ')` ' || body) AS body_hash, CASE WHEN doc_id % 7 = 0 OR up_id % 7 = 0 THEN 1800000000 ELSE updated_s END AS updated_s FROM m")
+def rename_propagation(spark, sf_dir):
+    """Every seventh concept moves; each concept links to itself and to the one before, which code quotes too."""
+    c = concepts(spark, sf_dir).select("doc_id", "id", "path", "body", "updated_s")
+    before = c.select((F.col("doc_id") + 1).alias("doc_id"), F.col("path").alias("up"))
+    front = F.concat(F.lit("[own]("), "path", F.lit("#top) ![up]("), F.coalesce("up", "path"), F.lit(") `[code]("), F.coalesce("up", "path"), F.lit(")` "))
+    linked = c.join(before, "doc_id", "left").withColumn("body", F.concat(front, "body")).drop("up")
+    renames = c.where("doc_id % 7 = 0").select(F.col("path").alias("old"), F.concat(F.lit("/archive"), "path").alias("new"))
+    moved = M.rename_all(linked, renames, {"updated_s": F.lit(1800000000)})
+    return moved.select("id", "path", F.sha2("body", 256).alias("body_hash"), "updated_s")
+
+
+# Faults put in files, by the remainder of the document's number, and the error that each is.
+FAULTS = {1: ("status: ", "state: ", "unknown_key"), 2: ("title: ", "title ", "bad_line"), 3: ("type: ", "type: un", "type"), 4: ("schema_version: 1", "schema_version: 2", "schema_version"), 5: ("Z\nupdated_by", "\nupdated_by", "time")}
+FAULT = "CASE doc_id % 20 " + " ".join(f"WHEN {k} THEN '{e}'" for k, (_, _, e) in FAULTS.items()) + " END"
+FILED = r"regexp_replace(regexp_replace(replace(body, chr(13) || chr(10), chr(10)), '[^\S\n]+(\n|$)', '\1', 'g'), '^\n+|\n+$', '', 'g')"
+
+
+@query(CONCEPTS, rf"f AS (SELECT *, {FAULT} AS fault, CASE WHEN title IS NULL THEN 'missing_key' WHEN title = '' THEN 'empty' WHEN regexp_matches(title, '[\x00-\x1f\x7f]') THEN 'control' END AS own, {FILED} AS filed FROM concepts)",
+       "g AS (SELECT *, coalesce(fault, own) AS error FROM f)",
+       "SELECT path, error, CASE WHEN error IS NULL THEN id END AS id, CASE WHEN error IS NULL THEN title END AS title, CASE WHEN error IS NULL THEN array_to_string(tags, ',') END AS tags, CASE WHEN error IS NULL THEN updated_s END AS updated_s, CASE WHEN error IS NULL THEN sha256(coalesce(filed, '')) END AS body_hash FROM g")
+def bundle_round_trip(spark, sf_dir):
+    """All concepts as files and back; a quarter of the files has a fault put in, and says which."""
+    c = concepts(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    moment = F.timestamp_seconds("updated_s")
+    full = c.withColumns({"schema_version": F.lit(1), "description": F.col("title"), "aliases": none, "source_refs": none, "created_at": moment, "updated_at": moment, "updated_by": F.lit("someone/tablet")})
+    text = F.col("value")
+    for k, (old, new, _) in FAULTS.items():
+        text = F.when(F.col("doc_id") % 20 == k, F.regexp_replace("value", rf"\A([\s\S]*?){old}", f"$1{new}")).otherwise(text)
+    back = B.parsed(full.select("doc_id", "path", B.serialised().alias("value")).withColumn("value", text))
+    return back.select("path", "error", "id", "title", F.array_join("tags", ",").alias("tags"), F.unix_seconds("updated_at").alias("updated_s"), F.sha2("body", 256).alias("body_hash"))
+
+
+PATCHES = """patches AS (SELECT proposal_id, path, k, CASE WHEN proposal_id % 10 = 3 THEN '{' ELSE '' END || '{"changes":[{"path":"' || path || '","op":"rename","new_path":"/archive' || path || '"},[[{"meta":{"refs":[{"concept_path":"/k' || (k + 1) || '.md"},{"path":' || k || '}]}}]]],"props":' || props || '}' AS patch
+  FROM proposals JOIN (SELECT event_id AS proposal_id, props, (props->>'$.k')::BIGINT AS k FROM events) USING (proposal_id))"""
+
+
+def patches(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("proposal_id"), "props", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    text = F.format_string('{"changes":[{"path":"%s","op":"rename","new_path":"/archive%s"},[[{"meta":{"refs":[{"concept_path":"/k%d.md"},{"path":%d}]}}]]],"props":%s}', "path", "path", F.col("k") + 1, "k", "props")
+    broken = F.when(F.col("proposal_id") % 10 == 3, "{").otherwise("")
+    return proposals(spark, sf_dir).join(e, "proposal_id").select("proposal_id", F.concat(broken, text).alias("patch"))
+
+
+@query(PROPOSALS, PATCHES, "good AS (SELECT * FROM patches WHERE json_valid(patch))", "SELECT proposal_id, string_agg(DISTINCT value->>'$', ',' ORDER BY value->>'$') AS paths FROM good, json_tree(good.patch) WHERE key IN ('path', 'new_path', 'concept_path') AND type = 'VARCHAR' GROUP BY proposal_id")
+def proposal_paths(spark, sf_dir):
+    found = strings_under(patches(spark, sf_dir), "proposal_id", "patch", ["path", "new_path", "concept_path"])
+    return found.select("proposal_id", F.array_join("found", ",").alias("paths"))
+
+
+@query(PROPOSALS, PATCHES, """SELECT proposal_id, sha256('{"changes":[{"new_path":"/archive' || path || '","op":"rename","path":"' || path || '"},[[{"meta":{"refs":[{"concept_path":"/k' || (k + 1) || '.md"},{"path":' || k || '}]}}]]],"props":{"k":' || k || '}}') AS patch_hash FROM patches WHERE proposal_id % 10 <> 3""")
+def patch_hashes(spark, sf_dir):
+    """Hashes of the canonical form, so that equal patches written otherwise are equal."""
+    return patches(spark, sf_dir).select("proposal_id", F.sha2(canonical(F.col("patch")), 256).alias("patch_hash")).where("patch_hash is not null")
+
+
+@query(CONCEPTS, "SELECT 'recent_activity' AS signal_type, id, path, 'low' AS severity, 'recent_activity|' || id || '|r2' AS dedupe_key, sha256('{\"path\":\"' || path || '\",\"repo_revision\":\"r2\",\"since_revision\":\"r1\"}') AS evidence_hash FROM concepts WHERE (doc_id % 11 <> 0) <> (doc_id % 7 <> 0) OR (doc_id % 11 <> 0 AND doc_id % 13 = 0)")
+def recent_activity_signals(spark, sf_dir):
+    c = concepts(spark, sf_dir)
+    return recent_activity(c, revision_changes(spark, sf_dir), "r1", "r2")

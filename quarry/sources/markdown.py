@@ -1,36 +1,16 @@
-"""Concepts as Markdown files: reading, links, indexes, logs and writing."""
+"""Concepts as Markdown: links, renames, audit, indexes and logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import escaped, link_anchor, link_path, reserved
 
 LINK = r"(?<!!)\[([^\]\[]*)\]\(([^()\s]+)\)"
-FIELDS = ["id", "type", "title", "description", "status", "updated_by"]
-LISTS = ["tags", "aliases", "supersedes", "source_refs"]
-
-
-def read_bundle(spark: SparkSession, root: str) -> DataFrame:
-    """Concepts of all *.md under root but reserved paths: path, body, FIELDS and LISTS; a file without frontmatter fails the read."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    path = F.regexp_replace(F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B")), r"^.*?\Q" + base + r"\E", "")
-    rows = files.select(path.alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value")).where(~reserved(F.col("path")))
-    head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
-    rows = rows.withColumn("head", F.when(head == "", F.raise_error(F.concat(F.lit("no frontmatter: "), "path"))).otherwise(head))
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", ""), r"(?m)[ \t]+$", ""), r"\A\n+|\n+\z", "")
-    one = lambda f: F.nullif(F.regexp_replace(F.regexp_extract("head", rf"(?m)^{f}:[ ]*(.*)$", 1), r"^['\"]|['\"]$", ""), F.lit(""))
-    many = lambda f: F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.regexp_extract("head", rf"(?m)^{f}:\n((?:[ ]*- .*(?:\n|\z))*)", 1), F.lit(r"(?m)^[ ]*- (.*)$"), F.lit(1)), lambda x: x != "")))
-    return rows.select("path", body.alias("body"), *[one(f).alias(f) for f in FIELDS], *[many(f).alias(f) for f in LISTS])
-
-
-def serialised() -> Column:
-    """A concept's file: frontmatter in a fixed order, then the body and one line feed."""
-    lines = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}: "), f)) for f in FIELDS]
-    lists = [F.when(F.size(f) > 0, F.concat(F.lit(f"{f}:\n- "), F.array_join(f, "\n- "))) for f in LISTS]
-    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines, *lists), F.lit("\n---\n"), "body", F.lit("\n"))
+TARGET = r"\]\((/[^()\s#]*)(?:#[^()\s]*)?\)"
+#: A stretch of code, between fences or in a line, or of text without.
+STRETCH = r"(?s)```.*?(?:```|\z)|`[^`\n]*`|[^`]+|`"
 
 
 def links(concepts: DataFrame, ident: str = "path") -> DataFrame:
@@ -42,10 +22,49 @@ def links(concepts: DataFrame, ident: str = "path") -> DataFrame:
     return rows.select(ident, "place", F.col("l.text").alias("text"), href.alias("raw_target"), F.when(href.startswith("/"), link_path(href)).alias("target_path"), link_anchor(href).alias("anchor"))
 
 
-def renamed(concepts: DataFrame, old: str, new: str) -> DataFrame:
-    """concepts with path old now new, and links to it rewritten; anchors stay."""
-    body = F.regexp_replace("body", r"\]\(\Q" + old + r"\E(#[^()\s]*)?\)", f"]({new}$1)")
-    return concepts.withColumns({"body": body, "path": F.when(F.col("path") == old, new).otherwise(F.col("path"))})
+def rewritten(body: Column, moves: Column) -> Column:
+    """body with the targets of its links and images that `moves`, a map, names replaced, all at once; anchors and code stay."""
+
+    def hrefs(text: Column) -> Column:
+        pieces = F.split(text, r"(?<=\]\()")
+        target = lambda x: F.regexp_extract(x, r"\A(/[^()\s#]*)(?=(?:#[^()\s]*)?\))", 1)
+        moved = lambda x, i: F.when(i > 0, F.concat(F.try_element_at(moves, target(x)), F.substring(x, F.length(target(x)) + 1, F.length(x))))
+        return F.array_join(F.transform(pieces, lambda x, i: F.coalesce(moved(x, i), x)), "")
+
+    stretches = F.regexp_extract_all(body, F.lit(STRETCH), F.lit(0))
+    return F.array_join(F.transform(stretches, lambda x: F.when(x.startswith("`") | ~x.contains("]("), x).otherwise(hrefs(x))), "")
+
+
+def judged_renames(concepts: DataFrame, renames: DataFrame) -> DataFrame:
+    """renames (old, new), each different one once, with issue: null, or why it can't be: bad_path (null, reserved, or the same), not_found, taken
+    (a concept has the new path, even one that moves away) or ambiguous (one old path has several new ones, or one new path several old)."""
+    rows = renames.select("old", "new").distinct()
+    for x, y in (("old", "new"), ("new", "old")):
+        rows = rows.join(rows.groupBy(F.col(x).alias("_k")).agg(F.count("*").alias("_n_" + x)), F.col(x).eqNullSafe(F.col("_k")), "left").drop("_k")
+    paths = concepts.select(F.col("path").alias("_p")).distinct()
+    for x in ("old", "new"):
+        rows = rows.join(paths.select(F.col("_p").alias(x), F.lit(True).alias("_is_" + x)), x, "left")
+    bad = F.col("old").isNull() | F.col("new").isNull() | (F.col("old") == F.col("new")) | reserved(F.col("old")) | reserved(F.col("new"))
+    issue = F.when(bad, "bad_path").when(F.col("_is_old").isNull(), "not_found").when(F.col("_is_new").isNotNull(), "taken").when((F.col("_n_old") > 1) | (F.col("_n_new") > 1), "ambiguous")
+    return rows.select("old", "new", issue.alias("issue"))
+
+
+def rename_all(concepts: DataFrame, renames: DataFrame, stamp: dict[str, Column]) -> DataFrame:
+    """concepts after all renames (old, new) that judged_renames() lets pass: paths moved, links to them rewritten wherever they stand, and the
+    columns of `stamp` set in every row that either changes.
+
+    Only the targets that a text has are joined with the renames, and its text is read once whatever their number. Rows without path or body
+    stay; rows that repeat do too.
+    """
+    moves = judged_renames(concepts, renames).where("issue is null").select("old", "new")
+    targets = concepts.select("path", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(TARGET), F.lit(1)))).alias("old")).distinct()
+    maps = targets.join(moves, "old").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_moves"))
+    rows = concepts.join(maps, "path", "left").join(moves.select(F.col("old").alias("path"), F.col("new").alias("_new")), "path", "left")
+    body = F.when(F.col("_moves").isNotNull(), rewritten(F.col("body"), F.col("_moves")))
+    rows = rows.withColumn("_body", F.coalesce(body, "body"))
+    changed = F.col("_new").isNotNull() | ~F.col("_body").eqNullSafe(F.col("body"))
+    out = {"path": F.coalesce("_new", "path"), "body": F.col("_body")} | {k: F.when(changed, v).otherwise(F.col(k)) for k, v in stamp.items()}
+    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in concepts.columns])
 
 
 def audit(concepts: DataFrame, found: DataFrame) -> DataFrame:
