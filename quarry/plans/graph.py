@@ -90,7 +90,7 @@ def neighbourhood_1hop(spark, sf_dir):
     return G.reach(links, some, 1).union(G.reach(links, some, 1, "in")).select("start", "id").distinct()
 
 
-REACH = "near AS (SELECT id AS a, id AS b FROM nodes UNION SELECT n.a, l.b FROM near n JOIN (SELECT source_id AS a, target_id AS b FROM links WHERE target_id IS NOT NULL UNION SELECT target_id, source_id FROM links WHERE target_id IS NOT NULL) l ON n.b = l.a), named AS (SELECT a AS id, min(b) AS root FROM near GROUP BY a)"
+REACH = "step AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM links WHERE target_id IS NOT NULL UNION SELECT target_id, source_id FROM links WHERE target_id IS NOT NULL), near AS (SELECT id AS a, id AS b FROM nodes UNION SELECT n.a, l.b FROM near n JOIN step l ON n.b = l.a), named AS (SELECT a AS id, min(b) AS root FROM near GROUP BY a)"
 
 
 def rooted(spark, sf_dir):
@@ -137,12 +137,12 @@ def overview_metrics(spark, sf_dir):
 EDGES = "edges AS (SELECT 0 AS layer, source_id AS a, target_id AS b FROM links WHERE target_id IS NOT NULL UNION ALL SELECT 1, a.id, b.id FROM vectors a JOIN vectors b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95 AND a.status = 'ready' AND b.status = 'ready')"
 
 
-@query(GRAPH, VECTORS, EDGES, "SELECT layer::INT AS layer, a, b FROM edges ORDER BY layer, a, b LIMIT 500")
+@query(GRAPH, VECTORS, EDGES, "SELECT layer::INT AS layer, a, b FROM edges ORDER BY layer, a, b LIMIT 100000")
 def edge_budget(spark, sf_dir):
     """Layers in turn: one is made only if those before it leave room, and of it no more than fits."""
     from quarry.operators.search import neighbours
 
-    budget = 500
+    budget = 100_000
     out = linked(spark, sf_dir)[1].where("target_id is not null").select(F.lit(0).alias("layer"), F.col("source_id").alias("a"), F.col("target_id").alias("b")).orderBy("a", "b").limit(budget)
     left = budget - out.count()
     if left > 0:
@@ -152,7 +152,7 @@ def edge_budget(spark, sf_dir):
 
 
 LAYOUT = r"""inner_links AS (SELECT l.source_id AS a, l.target_id AS b FROM links l JOIN nodes s ON s.id = l.source_id JOIN nodes t ON t.id = l.target_id WHERE s.namespace = t.namespace),
-step AS (SELECT a, b FROM inner_links UNION SELECT b, a FROM inner_links),
+step AS MATERIALIZED (SELECT a, b FROM inner_links UNION SELECT b, a FROM inner_links),
 near AS (SELECT id AS a, id AS b FROM nodes UNION SELECT n.a, s.b FROM near n JOIN step s ON n.b = s.a),
 named AS (SELECT n.id, n.namespace, min(near.b) AS root FROM nodes n JOIN near ON near.a = n.id GROUP BY n.id, n.namespace),
 comp AS (SELECT namespace, root, count(*) AS size, row_number() OVER (PARTITION BY namespace ORDER BY root) - 1 AS number FROM named GROUP BY namespace, root),

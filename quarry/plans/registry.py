@@ -21,10 +21,11 @@ CONCEPTS = """concepts AS (
 VECTORS = """vectors AS (SELECT vec_id, printf('doc-%08d', vec_id) AS id, embedding::DOUBLE[] AS v, label,
   CASE WHEN vec_id % 10 = 0 THEN 'stale' WHEN vec_id % 10 = 1 THEN 'missing' WHEN vec_id % 10 = 2 THEN 'error' ELSE 'ready' END AS status FROM embeddings)"""
 GRAPH = """nodes AS (SELECT 's' || s_suppkey AS id, '/suppliers/s' || s_suppkey || '.md' AS path, '/suppliers/' AS namespace FROM supplier
-    UNION ALL SELECT 'p' || p_partkey, '/parts/p' || p_partkey || '.md', '/parts/' FROM part WHERE p_size <= 40
+    UNION ALL SELECT 'p' || p_partkey, space || 'p' || p_partkey || '.md', space FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN '/archive/' ELSE '/parts/' END AS space FROM part)
     UNION ALL SELECT 'n' || n_nationkey, '/nations/n' || n_nationkey || '.md', '/nations/' FROM nation),
-raw AS (SELECT 's' || l_suppkey AS source_id, '/parts/p' || l_partkey || '.md' AS target_path FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45
-    UNION ALL SELECT 'p' || l_partkey, '/suppliers/s' || min(l_suppkey) || '.md' FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 40) GROUP BY l_partkey),
+raw AS (SELECT 's' || l_suppkey AS source_id, '/parts/p' || l_partkey || '.md' AS target_path FROM lineitem
+    UNION ALL SELECT 'p' || l_partkey, '/suppliers/s' || min(l_suppkey) || '.md' FROM lineitem GROUP BY l_partkey
+    UNION ALL SELECT 'p' || p_partkey, '/parts/p' || min(p_partkey) OVER (PARTITION BY p_brand) || '.md' FROM part),
 links AS (SELECT source_id, target_path, id AS target_id FROM raw LEFT JOIN nodes ON path = target_path)"""
 EVENTS = """ev AS (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS moment, user_id, event_type, value, (props->>'$.k')::BIGINT AS k FROM events)"""
 PROPOSALS = EVENTS + """, proposals AS (SELECT event_id AS proposal_id, user_id AS author, moment,

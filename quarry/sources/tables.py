@@ -43,18 +43,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    node = lambda df, key, letter, space: df.select(F.concat(F.lit(letter), key).alias("id"), F.concat(F.lit(f"/{space}/{letter}"), key, F.lit(".md")).alias("path"), F.lit(f"/{space}/").alias("namespace"))
-    parts = table(spark, sf_dir, "part").where("p_size <= 40")
-    nodes = node(table(spark, sf_dir, "supplier"), "s_suppkey", "s", "suppliers").union(node(parts, "p_partkey", "p", "parts"))
-    return nodes.union(node(table(spark, sf_dir, "nation"), "n_nationkey", "n", "nations"))  # nothing links to these
+    """Suppliers, parts and nations, all of them. Parts of more than 40 in size lie in an archive, where no link looks for them."""
+    node = lambda df, key, letter, space: df.select(F.concat(F.lit(letter), key).alias("id"), F.concat(F.lit("/"), space, F.lit(f"/{letter}"), key, F.lit(".md")).alias("path"), F.concat(F.lit("/"), space, F.lit("/")).alias("namespace"))
+    place = F.when(F.col("p_size") > 40, "archive").otherwise("parts")
+    nodes = node(table(spark, sf_dir, "supplier"), "s_suppkey", "s", F.lit("suppliers")).union(node(table(spark, sf_dir, "part"), "p_partkey", "p", place))
+    return nodes.union(node(table(spark, sf_dir, "nation"), "n_nationkey", "n", F.lit("nations")))  # nothing links to these
 
 
 def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, target_path): suppliers to parts of large first lines, and each part to its least supplier."""
-    lines = table(spark, sf_dir, "lineitem")
-    out = lines.where("l_linenumber = 1 and l_quantity >= 45").select(F.concat(F.lit("s"), "l_suppkey").alias("source_id"), F.concat(F.lit("/parts/p"), "l_partkey", F.lit(".md")).alias("target_path"))
-    least = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s")).join(table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-    return out.union(least.select(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("/suppliers/s"), "s", F.lit(".md"))))
+    """(source_id, target_path): each line's supplier to its part, each part to its least supplier and to the first part of its brand."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    link = lambda letter, key, space, to, other: [F.concat(F.lit(letter), key).alias("source_id"), F.concat(F.lit(f"/{space}/{to}"), other, F.lit(".md")).alias("target_path")]
+    out = lines.select(*link("s", "l_suppkey", "parts", "p", "l_partkey"))
+    least = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s")).select(*link("p", "l_partkey", "suppliers", "s", "s"))
+    first = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("first"))
+    return out.union(least).union(parts.join(first, "p_brand").select(*link("p", "p_partkey", "parts", "p", "first")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
