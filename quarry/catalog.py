@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, graph, search, state
+from quarry.plans import access, corpus, graph, search, state
 
-QUERIES = search.QUERIES | graph.QUERIES | state.QUERIES | corpus.QUERIES
-ORACLES = search.ORACLES | graph.ORACLES | state.ORACLES | corpus.ORACLES
+QUERIES = search.QUERIES | graph.QUERIES | state.QUERIES | corpus.QUERIES | access.QUERIES
+ORACLES = search.ORACLES | graph.ORACLES | state.ORACLES | corpus.ORACLES | access.ORACLES

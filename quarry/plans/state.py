@@ -41,12 +41,6 @@ def interrupted_ops(spark, sf_dir):
     return latest(e, ["user_id"], ["event_id"]).where(F.col("event_type").isin("view", "signup")).select("event_id", "user_id")
 
 
-@query(EVENTS, "SELECT event_id, CASE WHEN k % 5 = 0 THEN 'published' WHEN k % 3 = 0 THEN 'conflict' ELSE 'retryable' END AS recovery FROM ev WHERE event_type IN ('view', 'signup')")
-def recovery_class(spark, sf_dir):
-    e = events(spark, sf_dir).where(F.col("event_type").isin("view", "signup"))
-    return e.select("event_id", F.when(F.col("k") % 5 == 0, "published").when(F.col("k") % 3 == 0, "conflict").otherwise("retryable").alias("recovery"))
-
-
 @query(PROPOSALS, "SELECT path, count(*) AS total, count(*) FILTER (status IN ('draft', 'submitted', 'approved')) AS pending FROM proposals GROUP BY path")
 def proposal_counts(spark, sf_dir):
     return S.proposal_counts(proposals(spark, sf_dir))
