@@ -56,6 +56,10 @@ def unpack(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], bytes]:
     return [np.cumsum(out[0]), *out[2:5]], [np.cumsum(out[1]), *out[5:8]], raw[at:]
 
 
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key >> np.uint64(1)) % np.uint64(buckets)
+
+
 def send(w: Words, doc: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray, window: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) of the runs of words a..b. Later copies of a run in the chunk go as spans, without text.
 
@@ -79,7 +83,7 @@ def send(w: Words, doc: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray
     later = np.zeros(len(a), bool)
     for i, j in zip(order[~first], lead[~first], strict=True):
         later[i] = (ids[i], start[i]) != (ids[j], start[j]) and text[low[i] : high[i]] == text[low[j] : high[j]]
-    bucket = (key >> np.uint64(1)) % np.uint64(buckets)
+    bucket = bucket_of(key, buckets)
     order = np.lexsort((start, ids, later, bucket))
     edges = np.flatnonzero(np.diff(bucket[order], prepend=buckets + 1, append=buckets + 1))
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):

@@ -42,7 +42,7 @@ def suffixes(docs: DataFrame, passage: int, anchor: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 w = Words(part.column("text"))
-                a, b, key = runs(w, passage, anchor, NONE)
+                a, b, key, _ = runs(w, passage, anchor, NONE)
                 d = w.doc[a]
                 # a run can hold its anchor at several places
                 n = b - a - anchor + 1

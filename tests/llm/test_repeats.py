@@ -56,6 +56,19 @@ def test_hot_minimisers(spark, monkeypatch):
     assert key(dedup_substrings(df, 20).collect()) == key(cut_repeats(rows, 20))
 
 
+@pytest.mark.parametrize("words", [1, 40, 400])
+def test_full_buckets(spark, monkeypatch, words):
+    from quarry.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "FULL", 1)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WORDS", words)
+    rows = cases()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    full = substring_dedup.crowded(df, 20, 4, substring_dedup.NONE, 16)
+    assert len(set(full.tolist())) == len(full) and (words > 1 or len(full) > 8)
+    assert key(dedup_substrings(df, 20).collect()) == key(cut_repeats(rows, 20))
+
+
 def test_words_of_one_hash():
     import numpy as np
     import pyarrow as pa
