@@ -215,3 +215,39 @@ def namespace_outliers(nodes: DataFrame, links: DataFrame, share: float = 0.8, l
     rows = both.join(space, "id").join(space.select(F.col("id").alias("other"), F.col("own").alias("theirs")), "other")
     out = rows.groupBy("id").agg(F.count("*").alias("linked"), F.count_if(F.col("own") != F.col("theirs")).alias("outside"))
     return out.where((F.col("linked") >= least) & (F.col("outside") >= share * F.col("linked")))
+
+
+def selection(nodes: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with degrees, links) of what ids (id) select: links with both ends inside, degrees counted from these alone.
+
+    Repeated ids select once; unknown and null ones select nothing. Links without a target are outside.
+    """
+    inside = nodes.select("id").join(ids.select("id"), "id", "left_semi")
+    kept = links.where("target_id is not null").join(inside.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(inside.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    return degrees(inside, kept), kept
+
+
+def pages(members: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """(cluster, page, nodes, first, last, links) of members (id, cluster): pages of `size` members by id, with the links that lie in one page whole.
+
+    A cluster of any size is many tasks' work: members are numbered by ranges. Ids are unique; null ids are left out.
+    """
+    paged = numbered(members.where("id is not null").select("id", "cluster"), ["cluster"], ["id"], "_n")
+    paged = paged.select("id", "cluster", F.floor((F.col("_n") - 1) / size).alias("page"))
+    end = lambda x: paged.select(F.col("id").alias(f"{x}_id"), F.struct("cluster", "page").alias(x))
+    inner = links.where("target_id is not null").select("source_id", "target_id").join(end("source"), "source_id").join(end("target"), "target_id")
+    inner = inner.where(F.col("source").eqNullSafe(F.col("target"))).groupBy(F.col("source.cluster").alias("_c"), F.col("source.page").alias("_p")).agg(F.count("*").alias("links"))
+    out = paged.groupBy("cluster", "page").agg(F.count("*").alias("nodes"), F.min("id").alias("first"), F.max("id").alias("last"))
+    same = F.col("cluster").eqNullSafe(F.col("_c")) & (F.col("page") == F.col("_p"))
+    return out.join(inner, same, "left").select("cluster", "page", "nodes", "first", "last", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
+def paths_in_order(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(request, paths): the paths of each request's ids (array), in the ids' order; unknown and null ids are dropped, repeated ones stay.
+
+    Requests are unique. One without known ids, or with null ids, has an empty list. An id's path joins by id, so a list's length is all that a task holds.
+    """
+    asked = requests.select("request", F.posexplode("ids").alias("_pos", "id"))
+    found = asked.join(nodes.select("id", "path"), "id").groupBy("request").agg(F.sort_array(F.collect_list(F.struct("_pos", "path"))).alias("_f"))
+    none = F.array().cast("array<string>")
+    return requests.select("request").join(found, "request", "left").select("request", F.coalesce(F.col("_f.path"), none).alias("paths"))

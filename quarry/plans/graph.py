@@ -194,6 +194,35 @@ def display_edges(spark, sf_dir):
     return G.greedy_edges(edges, 5)
 
 
+CHOSEN = "chosen AS (SELECT id FROM nodes WHERE namespace = '/parts/' OR namespace = '/suppliers/'), inner_l AS (SELECT source_id, target_id FROM links WHERE source_id IN (SELECT id FROM chosen) AND target_id IN (SELECT id FROM chosen))"
+
+
+@query(GRAPH, CHOSEN, "SELECT c.id, (SELECT count(*) FROM inner_l WHERE target_id = c.id) AS inbound, (SELECT count(*) FROM inner_l WHERE source_id = c.id) AS outbound FROM chosen c")
+def selection_export(spark, sf_dir):
+    """What lies in two namespaces, with degrees inside the selection."""
+    nodes, links = linked(spark, sf_dir)
+    return G.selection(nodes, links, nodes.where("namespace in ('/parts/', '/suppliers/')"))[0].select("id", "inbound", "outbound")
+
+
+PAGED = """paged AS (SELECT id, namespace AS cluster, (row_number() OVER (PARTITION BY namespace ORDER BY id) - 1) // 40 AS page FROM nodes),
+inner_p AS (SELECT s.cluster, s.page, count(*) AS links FROM links l JOIN paged s ON s.id = l.source_id JOIN paged t ON t.id = l.target_id AND t.cluster = s.cluster AND t.page = s.page GROUP BY s.cluster, s.page)"""
+
+
+@query(GRAPH, PAGED, "SELECT p.cluster, p.page, count(*) AS nodes, min(id) AS first, max(id) AS last, coalesce(any_value(i.links), 0) AS links FROM paged p LEFT JOIN inner_p i ON i.cluster = p.cluster AND i.page = p.page GROUP BY p.cluster, p.page")
+def cluster_pages(spark, sf_dir):
+    nodes, links = linked(spark, sf_dir)
+    return G.pages(nodes.select("id", F.col("namespace").alias("cluster")), links, 40)
+
+
+@query(GRAPH, "asked AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'gone' ELSE 'p' END || l_partkey AS id FROM lineitem)", "SELECT l_orderkey AS request, coalesce(string_agg(path, ' ' ORDER BY l_linenumber, id), '') AS paths FROM asked LEFT JOIN nodes USING (id) GROUP BY l_orderkey")
+def paths_for_ids(spark, sf_dir):
+    """The paths of each order's parts in its lines' order, equal line numbers by id; returned parts are asked for by an id that nothing has."""
+    ident = F.concat(F.when(F.col("l_returnflag") == "R", "gone").otherwise("p"), "l_partkey")
+    lists = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("request")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", ident.alias("id")))).alias("l"))
+    found = G.paths_in_order(lists.select("request", F.col("l.id").alias("ids")), graph_nodes(spark, sf_dir))
+    return found.select("request", F.array_join("paths", " ").alias("paths"))
+
+
 RULE = "SELECT '{}' AS rule, '{}' AS severity, id FROM {}"
 
 
