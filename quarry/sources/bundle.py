@@ -35,7 +35,7 @@ ELEMENT = re.compile(r"""[ \t]*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,'"\s][^,]*?)
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 INSTANT = re.compile(r"(\d{4}-\d\d-\d\d)[Tt ](\d\d:\d\d:\d\d(?:\.\d{1,6})?)\d*[ ]?([Zz]|[+-]\d\d:?\d\d)")
 #: What YAML takes as it stands: a text that is no number, date, truth value or null, and holds no sign of its own.
-PLAIN = r"\A[\p{L}_/(.][^\x00-\x1f\x7f:#'\"\[\]{},&*!|>%@`]*(?<![ ])\z"
+PLAIN = r"\A[\p{L}_/(.][^\x00-\x1f\x7f:#'\"\[\]{},&*!|>%@`]*(?<![\p{Z}\x{85}])\z"
 WORDS = ["true", "false", "yes", "no", "on", "off", "null", "y", "n", ".inf", ".nan"]
 KINDS = {k: ArrayType(StringType()) for k in LISTS} | {k: LongType() for k in TIMES} | {"schema_version": IntegerType()}
 PARSED = StructType([StructField(k, KINDS.get(k, StringType())) for k in ["error", *KEYS, "body"]])
@@ -47,7 +47,7 @@ class Broken(ValueError):
 
 def body_text(text: Column) -> Column:
     """A body as a file holds it: line feeds alone, no blanks at the ends of lines, no empty lines around it."""
-    lines = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?m)[^\S\n]+$", "")
+    lines = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?md)[^\S\n]+$", "")
     return F.regexp_replace(lines, r"\A\n+|\n+\z", "")
 
 
