@@ -293,7 +293,7 @@ def diag_pending_proposals(spark, sf_dir):
     return G.diagnostic(proposal_counts(proposals(spark, sf_dir)).where("pending > 0").withColumnRenamed("path", "id"), "pending_proposals", "info")
 
 
-MAD = """sized AS (SELECT id, namespace, strlen(body)::DOUBLE AS size FROM concepts), mid AS (SELECT namespace, median(size) AS m FROM sized GROUP BY namespace HAVING count(*) >= 4),
+MAD = """sized AS (SELECT id, namespace, strlen(body)::DOUBLE AS size FROM concepts), mid AS (SELECT namespace, median(size) AS m FROM sized GROUP BY namespace HAVING count(size) >= 4),
 off AS (SELECT s.*, m, abs(size - m) AS d FROM sized s JOIN mid USING (namespace)), mad AS (SELECT namespace, median(d) AS mad FROM off GROUP BY namespace)"""
 
 

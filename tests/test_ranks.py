@@ -76,3 +76,10 @@ def test_numbered(spark):
 def test_tag_chain(spark):
     df = spark.createDataFrame([("c", ["s", "o"]), ("a", ["s"]), ("b", ["s", "o", "x"]), ("d", None), ("e", [])], "id string, tags array<string>").withColumn("n", F.lit(1))
     assert sorted(map(tuple, tag_chain(df).collect())) == [("o", "b", "c"), ("s", "a", "b"), ("s", "b", "c")]
+
+
+def test_null_bodies_have_no_size(spark):
+    rows = [(f"i{i}", "/a/", "x" * 5000) for i in range(4)] + [("big", "/a/", "x" * 9000)] + [(f"n{i}", "/a/", None) for i in range(9)]
+    rows += [(f"f{i}", "/b/", "x") for i in range(2)] + [("far", "/b/", "x" * 9000), ("no", "/b/", None)]
+    df = spark.createDataFrame(rows, "id string, namespace string, body string")
+    assert size_outliers(df).collect() == [("big", "/a/", 9000)]
