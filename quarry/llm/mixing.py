@@ -125,7 +125,8 @@ def placed_spans(docs: DataFrame, weights: tuple[float, ...], share: float, most
     near = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("within", F.coalesce(F.sum("size").over(near), F.lit(0)))
     known = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select(sizes["source"].alias("s"), F.col("bucket").alias("b"), "before", "id", "block", "source_size", "target")
-    placed = placed.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("a", F.col("before") + F.col("within"))
+    # documents and spans look small as files: a hint, or they would be broadcast
+    placed = placed.join(known.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("a", F.col("before") + F.col("within"))
     placed = cut(placed.select("row", "doc_id", "size", "source_size", "target", "id", "block", "a"), "placed")
     index = F.explode(F.sequence(F.floor(F.col("a") / F.col("block")), F.floor((F.col("a") + F.col("size") - 1) / F.col("block"))))
     # drawn grows with the mix, which an estimate from its few source rows does not show: never broadcast
@@ -148,7 +149,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text")
     placed, spans = placed_spans(rows, weights, share, most, block, shard, seed)
     sums = spans.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return placed.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return placed.join(sums.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 64, shard: int = 1 << 16, seed: int = 0) -> DataFrame:
@@ -165,7 +166,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     white = r"[\x20\x09-\x0D]"
     words = F.regexp_extract_all("rest.text", F.lit(rf"(?:^{white}+)?[^\x20\x09-\x0D]+{white}*"), F.lit(0))
     some = lambda turn: F.array_join(F.flatten(F.transform(F.filter("spans", lambda s: s["times"] > turn), lambda s: F.slice(F.col("w"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")
-    out = docs.join(spans, "row").withColumn("w", words)
+    out = docs.join(spans.hint("merge"), "row").withColumn("w", words)
     text = F.array_join(F.filter(F.array(*[some(t) for t in range(most)]), lambda x: x != ""), "\n")
     out = out.select("rest", text.alias("text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

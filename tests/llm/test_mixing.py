@@ -82,3 +82,11 @@ def test_documents_keep_line_feeds(spark):
         if n == 2 * size:
             assert x.text == text[x.doc_id] + "\n" + text[x.doc_id]
     assert {x for x, (n, _) in taken.items() if n} == {x.doc_id for x in out.collect()}
+
+
+def test_documents_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i}", "en", f"s{i % 3}", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    from quarry.llm.mixing import mix_sources
+
+    plan = mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 2  # blocks that are drawn, and each document's sums
