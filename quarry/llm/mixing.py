@@ -72,7 +72,8 @@ def counts_by_shard(sources: DataFrame, shard: int, seed: int) -> DataFrame:
     edge = lambda x: F.floor(x * F.lit(total) / F.lit(shards))
     slots = k.select("k", F.explode(F.sequence(edge(F.col("k")), edge(F.col("k") + 1) - 1)).alias("i")).select("k", F.pmod(F.xxhash64(F.lit(seed), "k", "i"), F.lit(total)).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") / width))
-    drawn = slots.join(own, "cell").where("low <= u and u < high").groupBy("id", "k").agg(F.count("*").alias("n"))
+    # slots look few and are many, so that they would be broadcast; own has about two rows a source
+    drawn = slots.join(F.broadcast(own), "cell").where("low <= u and u < high").groupBy("id", "k").agg(F.count("*").alias("n"))
     closing = sources.where("slots > 0").select("id", F.lit(shards).cast("long").alias("k"), F.col("slots").alias("n"))  # cut to what is left below
     every = drawn.union(closing).withColumn("stop", F.sum("n").over(Window.partitionBy("id").orderBy("k")))
     every = every.join(sources.select("id", "slots"), "id").select("id", "k", (F.col("stop") - F.col("n")).alias("start"), F.least("stop", "slots").alias("stop"))
