@@ -81,3 +81,18 @@ def test_neighbours(spark, tile):
         near = sorted((-round(float(u[i] @ u[j]), 12), f"v{j:02}") for j in range(40) if i != j and i % 9 and j % 9 and u[i] @ u[j] >= 0.6)
         want |= {(f"v{i:02}", b): k for k, (_, b) in enumerate(near[:4], 1)}
     assert set(got) == set(want)
+
+
+def test_neighbours_once(spark):
+    """Each pair once, also where a tile has no vectors; k may be all there are."""
+    for n, k in ((3, 4), (6, 2), (40, 3)):
+        rows = [(f"v{i:02}", [1.0, i % 3 / 10], "ready", 1) for i in range(n)]
+        df = spark.createDataFrame(rows, "id string, embedding array<double>, status string, label int")
+        want = []
+        for i, (a, x, *_) in enumerate(rows):
+            cos = [(-round(sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5, 9), b) for b, y, *_ in rows if b != a]
+            want += [(a, b, r + 1, -c) for r, (c, b) in enumerate(sorted(cos)[:k])]
+        for tile in (1, 7, 100):
+            got = S.neighbours(df, 0.5, k, tile).select("a", "b", "rank", F.round("cosine", 9)).collect()
+            assert sorted((a, b) for a, b, *_ in got) == sorted({(a, b) for a, b, *_ in got}) and len(got) == len(want)
+            assert {(a, r): c for a, _, r, c in got} == {(a, r): c for a, _, r, c in want}
