@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
-from quarry.operators.tables import components
+from quarry.operators.tables import components, cut
 from quarry.plans.registry import CONCEPTS, GRAPH, PROPOSALS, VECTORS, registry
 from quarry.sources.tables import concepts, graph_nodes, proposals, raw_links, table, vectors
 
@@ -151,6 +151,11 @@ def edge_budget(spark, sf_dir):
     return out
 
 
+def spaced(spark, sf_dir):
+    nodes = graph_nodes(spark, sf_dir)
+    return nodes, G.spaced(raw_links(spark, sf_dir), nodes)
+
+
 LAYOUT = r"""inner_links AS (SELECT l.source_id AS a, l.target_id AS b FROM links l JOIN nodes s ON s.id = l.source_id JOIN nodes t ON t.id = l.target_id WHERE s.namespace = t.namespace),
 step AS MATERIALIZED (SELECT a, b FROM inner_links UNION SELECT b, a FROM inner_links),
 near AS (SELECT id AS a, id AS b FROM nodes UNION SELECT n.a, s.b FROM near n JOIN step s ON n.b = s.a),
@@ -165,7 +170,7 @@ laid AS (SELECT g.id, g.namespace, cluster FROM grp g JOIN ids USING (namespace,
 
 @query(GRAPH, LAYOUT, "SELECT id, namespace, cluster FROM laid")
 def layout_members(spark, sf_dir):
-    return G.layout(*linked(spark, sf_dir), limit=5)
+    return G.layout(*spaced(spark, sf_dir), limit=5)
 
 
 @query(GRAPH, LAYOUT, METRICS, "hexed AS (SELECT cluster, sha256('layout-1' || chr(0) || 'r1' || chr(0) || cluster) AS h, row_number() OVER (ORDER BY cluster) - 1 AS ordinal, count(*) OVER () AS total, n, inbound, outbound, broken FROM (SELECT cluster, count(*) AS n, sum(inbound)::BIGINT AS inbound, sum(outbound)::BIGINT AS outbound, sum(broken)::BIGINT AS broken FROM laid JOIN metrics USING (id) GROUP BY cluster))",
@@ -173,14 +178,16 @@ def layout_members(spark, sf_dir):
        "SELECT cluster, ordinal, total::INT AS total, n, inbound, outbound, broken, round(cos(2 * pi() * (ordinal + 0.5 + jitter * 0.2) / total) * (3 + sqrt(total) * 0.6), 6) AS x, round(sin(2 * pi() * (ordinal + 0.5 + jitter * 0.2) / total) * (3 + sqrt(total) * 0.6), 6) AS y, round(up * 2, 6) AS z FROM num")
 def layout_clusters(spark, sf_dir):
     nodes, links = linked(spark, sf_dir)
-    rows = G.layout(nodes, links, limit=5).join(G.degrees(nodes, links), "id")
+    rows = G.layout(*spaced(spark, sf_dir), limit=5).join(G.degrees(nodes, links), "id")
     sums = rows.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("inbound", "outbound", "broken")])
     return G.placed(sums, "r1").select("cluster", "ordinal", "total", "n", "inbound", "outbound", "broken", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 @query(GRAPH, LAYOUT, "SELECT s.cluster AS source, t.cluster AS target, count(*) AS links FROM links l JOIN laid s ON s.id = l.source_id JOIN laid t ON t.id = l.target_id WHERE s.cluster <> t.cluster GROUP BY 1, 2")
 def layout_edges(spark, sf_dir):
-    nodes, links = linked(spark, sf_dir)
+    """Links are found once and written: clusters are made of them, and then they are counted."""
+    nodes, links = spaced(spark, sf_dir)
+    links = cut(links.where("source_namespace is not null and target_namespace is not null").drop("target_path"), "spaced")
     return G.between(links, G.layout(nodes, links, limit=5))
 
 

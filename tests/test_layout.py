@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.catalog import QUERIES
 from quarry.operators import graph as G
 
 NODES = "id string, namespace string"
@@ -87,3 +89,37 @@ def test_greedy_hub(spark):
     rows = [(f"h{i:03}", "hub", f"x{i}", i / 1000) for i in range(200)] + [(f"c{i:03}", f"p{i}", f"p{i + 1}", 1 - i / 1000) for i in range(12)]
     df = spark.createDataFrame(rows, "id string, a string, b string, similarity double")
     assert sorted(x.id for x in G.greedy_edges(df, 1).collect()) == walk(rows, 1)
+
+
+def counts(df):
+    return sorted((r.source, r.target, r.links) for r in df.collect())
+
+
+def test_spaced_links(spark):
+    """Ends' namespaces, and counts by namespaces, are those of joins by id: namespaces of one cluster and of several, ids in two, none, unknown and broken links."""
+    r = random.Random(3)
+    rows = [(f"n{i:02}", f"/{i}", f"/s{i % 5}/" if i % 9 else None) for i in range(40)] + [("n03", "/again", "/s4/")]
+    nodes = spark.createDataFrame(rows, "id string, path string, namespace string").repartition(3)
+    raw = [(f"n{r.randrange(42):02}", f"/{r.randrange(44)}") for _ in range(400)] + [("n05", "/again"), (None, "/1"), ("n01", None)]
+    raw = spark.createDataFrame(raw, "source_id string, target_path string").repartition(3)
+    links, plain = G.spaced(raw, nodes), G.resolve(raw, nodes)
+    space = {}
+    for i, _, s in rows:
+        space.setdefault(i, []).append(s)
+    none = [None]
+    want = [(x.source_id, x.target_id, s, t) for x in plain.collect() for s in space.get(x.source_id, none) for t in space.get(x.target_id, none)]
+    assert sorted(map(str, want)) == sorted(str((x.source_id, x.target_id, x.source_namespace, x.target_namespace)) for x in links.collect())
+    laid = spark.createDataFrame(G.layout(nodes, plain).collect(), "id string, namespace string, cluster string")
+    assert sorted(map(tuple, laid.collect())) == sorted(map(tuple, G.layout(nodes, links).collect()))
+    # /s0/ and /s1/ lie in several clusters, /s2/ and /s3/ in one
+    split = laid.withColumn("cluster", F.when(F.col("namespace").isin("/s0/", "/s1/"), F.concat(F.lit("c"), F.substring("id", 3, 1))).when(F.col("namespace") == "/s4/", "own").otherwise("both"))
+    for members in (laid, split):
+        want = counts(G.between(plain, members))
+        assert want and all(counts(G.between(links, members, most)) == want for most in (0, 2, 100))
+    assert counts(G.between(links.limit(0), laid)) == [] == counts(G.between(links, laid.limit(0)))
+
+
+def test_edges_of_links_found_once(spark, sf):
+    """The links are written once: counting them reads none of the tables that they are made of."""
+    df = QUERIES["layout_edges"](spark, sf)
+    assert df.inputFiles() and not any("lineitem" in f for f in df.inputFiles())
