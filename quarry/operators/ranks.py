@@ -33,7 +33,8 @@ def selected(rows: DataFrame, targets: DataFrame) -> DataFrame:
         if (sizes.agg(F.max("d")).first()[0] or 0) <= FIT:
             break
         grid = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-        bounds = live.groupBy(*key).agg(F.array_distinct(F.percentile_approx("x", grid, F.lit(ACCURACY))).alias("b"))
+        # written, since a sketch hangs on the order in which its parts come, and bins are read twice
+        bounds = cut(live.groupBy(*key).agg(F.array_distinct(F.percentile_approx("x", grid, F.lit(ACCURACY))).alias("b")), "bounds")
         # bin 2i + 1 is a bound itself, so that each turn leaves fewer values
         place = 2 * F.size(F.filter("b", lambda b: b < F.col("x"))) + F.array_contains("b", F.col("x")).cast("int")
         binned = live.join(some(bounds), key).select(*key, "x", "c", place.alias("bin"))

@@ -1,5 +1,6 @@
 """Order statistics against sorted lists; numbering of large groups."""
 
+import os
 import random
 from statistics import median as plain_median
 
@@ -43,6 +44,19 @@ def test_quantiles(spark, fit):
     assert {r.k: r.mid for r in R.median(df, "v", "k").collect()} == {k: pytest.approx(plain_median(v), rel=1e-12) for k, v in groups.items()}
 
 
+def test_sketches_that_differ(spark, monkeypatch):
+    # a sketch read twice isn't the same twice where its parts come from several executors
+    monkeypatch.setattr(R, "FIT", 5)
+    monkeypatch.setattr(R, "CUTS", 8)
+    some = F.udf(lambda b: [x for x in b or [] if os.urandom(1)[0] % 2] or b, "array<double>")
+    sketch = F.percentile_approx
+    monkeypatch.setattr(R.F, "percentile_approx", lambda x, grid, n: some(sketch(x, grid, n)))
+    r = random.Random(2)
+    rows = [(f"k{i % 3}", float(r.randrange(10**6))) for i in range(1500)]
+    got = {x.k: x.mid for x in R.median(spark.createDataFrame(rows, "k string, v double"), "v", "k").collect()}
+    assert got == {k: plain_median([v for g, v in rows if g == k]) for k in ("k0", "k1", "k2")}
+
+
 def test_nearest_rank(spark, fit):
     for n in (1, 2, 3, 20, 333):
         df = spark.createDataFrame([(i * 7 % n,) for i in range(n)], "v long")
