@@ -2,9 +2,10 @@
 
 import random
 import re
+import time
 
 from quarry.functions import text as X
-from quarry.operators.traverse import traverse
+from quarry.operators.traverse import eligible, profiled, traverse
 
 CONCEPT = "id string, path string, title string, body string, status string, tags array<string>, supersedes array<string>"
 
@@ -77,3 +78,23 @@ def test_traverse(spark):
         want = {q: plain_evidence(t, ranked[q], concepts, links, most) for q, t in questions}
         assert got == {q: e for q, e in want.items() if e}
         assert any(s == "graph" for e in got.values() for _, s, _ in e) == (most > 1)
+
+
+def test_terms_of_long_texts(spark):
+    # each term against each word of each candidate took minutes
+    r = random.Random(6)
+    texts = {f"c{k}": " ".join("".join(r.choice("abcdeé𝒳") for _ in range(r.randrange(1, 9))) for _ in range(n)) for k, n in enumerate((20000, 20000, 4, 0))}
+    asked = [(f"q{n:03}", " ".join([r.choice(texts["c0"].split()), *("".join(r.choice("xyzw") for _ in range(r.randrange(1, 9))) + str(i) for i in range(60))][: r.choice([1, 2, 60])]), r.choice(list(texts))) for n in range(400)]
+    asked += [("twin", "abcdef abcdeg", "t"), ("one", "abcdef zzz", "t"), ("short", "abcd", "t"), ("whole", "abcde", "t")]
+    texts["t"] = "abcdeé0"
+    ranked = spark.createDataFrame([(q, 1, i) for q, _, i in asked], "qid string, rank int, id string")
+    concepts = spark.createDataFrame([(i, f"/x/{i}.md", None, t, "active", [], []) for i, t in texts.items()], CONCEPT)
+    began = time.time()
+    got = {x.qid: x.match for x in eligible(profiled(spark.createDataFrame([a[:2] for a in asked], "qid string, text string")), ranked, concepts).collect()}
+    assert time.time() - began < 30
+    words = {i: re.findall(r"\w+", t.lower()) for i, t in texts.items()}
+    for q, t, i in asked:
+        terms = plain_profile(t)[3]
+        hits = sum(any(w.startswith(x[:5]) if len(x) >= 5 else w == x for w in words[i]) for x in terms)
+        assert got[q] == (bool(terms) and hits >= min(2, len(terms))), (q, t)
+    assert got["twin"] and not got["one"] and not got["short"] and got["whole"]
